@@ -3,7 +3,8 @@
 Rules look at measures of a text and vote good (1) or bad (0), or abstain (-1).
 No rule decides alone: expectation-maximisation estimates how often each rule is
 right on good and on bad texts, from all texts, and a text is kept by its
-posterior probability.
+posterior probability. Abstaining counts as an outcome of its own, since most
+rules look for one defect and say nothing where they don't find it.
 
 Votes have few patterns (3 for each rule), so the texts are counted by pattern;
 the driver fits on these counts, whose number doesn't grow with the input, and
@@ -35,8 +36,13 @@ from roomlake.storage import Workspace
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_exclaims", "n_repeat_next")
 PRIOR_GOOD = 0.8
-#: Votes each rule is taken to have cast rightly and wrongly before any is seen.
-RIGHT, WRONG = 80.0, 20.0
+#: How a rule is taken to vote (bad, good, none) on bad and on good texts before any is seen: it looks for one
+#: defect, which a bad text need not have and a good one hardly has. Counted as so many texts of each class.
+START = ((0.3, 0.2, 0.5), (0.002, 0.3, 0.698))
+STRENGTH = 20.0
+#: A rule against a defect is held to vote against this part of the good texts at most. Without the bound the
+#: largest group of defects that occur together would take the bad class, and single defects would pass as good.
+MOST_WRONG = 0.005
 ROUNDS = 100
 
 
@@ -87,24 +93,24 @@ def _per(top: str, below: str) -> Column:
     return F.col(top) / F.greatest(F.col(below), F.lit(1))
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, 0).when(good, 1).otherwise(-1)
-
-
+def _vote(bad: Column | None = None, good: Column | None = None) -> Column:
+    vote = F.when(bad, 0) if bad is not None else F.when(good, 1)
+    return (vote.when(good, 1) if bad is not None and good is not None else vote).otherwise(-1)
 
 
 def rules() -> dict[str, Column]:
-    """Rules over the measures: each votes, or abstains where its measure tells nothing."""
+    """Rules over the measures: most look for one defect and abstain where it is absent."""
     mean = _per("word_chars", "n_words")
     return {
-        "length": _vote(F.col("n_words") < 20, F.col("n_words") >= 200),
-        "word_length": _vote((mean < 2) | (mean > 14), (mean >= 3) & (mean <= 10)),
-        "symbols": _vote(_per("n_symbols", "n_words") > 0.1, _per("n_symbols", "n_words") < 0.02),
-        "repeats": _vote(_per("n_repeat_words", "n_words") > 0.3, _per("n_repeat_words", "n_words") < 0.1),
-        "same_next": _vote(_per("n_repeat_next", "n_words") > 0.2, _per("n_repeat_next", "n_words") < 0.05),
-        "upper": _vote(_per("n_upper", "n_letters") > 0.4, _per("n_upper", "n_letters") < 0.15),
-        "exclaims": _vote(_per("n_exclaims", "n_words") > 0.1, _per("n_exclaims", "n_words") < 0.02),
-        "dup_lines": _vote(_per("n_dup_lines", "n_words") > 0.02, F.lit(False)),
+        "long": _vote(good=F.col("n_words") >= 200),
+        "word_length": _vote(bad=(mean < 2) | (mean > 14)),
+        "symbols": _vote(bad=_per("n_symbols", "n_words") > 0.1),
+        "repeats": _vote(bad=_per("n_repeat_words", "n_words") > 0.3),
+        "same_next": _vote(bad=_per("n_repeat_next", "n_words") > 0.2),
+        "upper": _vote(bad=_per("n_upper", "n_letters") > 0.4),
+        "exclaims": _vote(bad=_per("n_exclaims", "n_words") > 0.1),
+        "dup_lines": _vote(bad=(F.col("n_dup_lines") >= 3) & (_per("n_dup_lines", "n_words") > 0.02)),
+        "plain": _vote(good=(F.col("n_symbols") + F.col("n_exclaims") + F.col("n_repeat_words") == 0) & (F.col("n_words") > 0)),
     }
 
 
@@ -113,11 +119,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
 
     ``patterns``: a row of votes for each pattern (-1, 0, 1).
     """
-    n_rules = patterns.shape[1]
-    start = np.full((n_rules, 2, 3), 1.0)
-    start[:, 0, 0] = start[:, 1, 1] = RIGHT
-    start[:, 0, 1] = start[:, 1, 0] = WRONG
-    start[:, :, 2] = (RIGHT + WRONG) / 2
+    start = STRENGTH * np.broadcast_to(np.array(START), (patterns.shape[1], 2, 3))
     votes = np.where(patterns < 0, 2, patterns)
     chosen = votes[:, :, None] == np.arange(3)
     prior, table = PRIOR_GOOD, np.log(start / start.sum(2, keepdims=True))
@@ -125,17 +127,21 @@ def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
         good = posterior(patterns, prior, table)
         soft = np.stack([1 - good, good], 1) * counts[:, None]
         seen = start + np.einsum("pc,prv->rcv", soft, chosen)
-        table = np.log(seen / seen.sum(2, keepdims=True))
-        was, prior = prior, float((soft[:, 1].sum() + RIGHT) / (counts.sum() + RIGHT + WRONG))
+        rate = seen / seen.sum(2, keepdims=True)
+        excess = np.maximum(rate[:, 1, 0] - MOST_WRONG, 0)
+        rate[:, 1, 0] -= excess
+        rate[:, 1, 2] += excess
+        table = np.log(rate)
+        was, prior = prior, float((soft[:, 1].sum() + PRIOR_GOOD * STRENGTH) / (counts.sum() + STRENGTH))
         if abs(was - prior) < 1e-10:
             break
     return prior, table
 
 
 def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
-    """The probability that a text of each pattern is good. Abstaining says nothing."""
+    """The probability that a text of each pattern is good."""
     votes = np.where(patterns < 0, 2, patterns)
-    logs = np.where(patterns[:, :, None] < 0, 0.0, table[np.arange(patterns.shape[1])[None], :, votes]).sum(1)
+    logs = table[np.arange(patterns.shape[1])[None], :, votes].sum(1)
     x = np.clip(logs[:, 0] - logs[:, 1] + math.log(1 - prior) - math.log(prior), -700, 700)
     return 1 / (1 + np.exp(x))
 
