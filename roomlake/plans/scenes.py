@@ -101,10 +101,11 @@ def sabine_rt60(read):
 
 
 @query("""SELECT event_id, round(abs((((value * 37 - 90 + 180) % 360 + 360) % 360) - 180), 6) AS error, round(degrees(acos(greatest(-1, least(1, cos(radians(((value * 37 - 30) % 360 + 360) % 360)))))), 6) AS folded,
-round(CASE WHEN abs(value / 10) <= 1.5 THEN 0.5 * (value / 10) ** 2 ELSE 1.5 * (abs(value / 10) - 0.75) END, 4) AS loss FROM events""")
+round(CASE WHEN abs(value / 10) <= 1.5 THEN 0.5 * (value / 10) ** 2 ELSE 1.5 * (abs(value / 10) - 0.75) END, 9) AS loss FROM events""")
 def angles_fold(read):
     v = F.col("value")
-    return rounded(read("events").select("event_id", g.angular_error(v * 37, F.lit(90.0)).alias("error"), g.fold_to_half_plane(v * 37, F.lit(30.0)).alias("folded"), F.round(g.huber(v / 10), 4).alias("loss")))
+    loss = F.round(g.huber(v / 10), 9).alias("loss")
+    return read("events").select("event_id", F.round(g.angular_error(v * 37, F.lit(90.0)), 6).alias("error"), F.round(g.fold_to_half_plane(v * 37, F.lit(30.0)), 6).alias("folded"), loss)
 
 
 @query("""WITH s AS (SELECT s_suppkey, (s_suppkey % 7 + 2)::DOUBLE AS w, (s_suppkey % 5 + 3)::DOUBLE AS h, (s_suppkey % 9)::DOUBLE AS px, (s_suppkey % 6)::DOUBLE + 0.5 AS py FROM supplier)
