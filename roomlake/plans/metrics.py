@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from roomlake.operators import agg
 from roomlake.plans.registry import query
 
-CORRECT, LOCAL = F.col("l_discount") <= 0.05, F.col("l_linestatus") == "F"
+
+def flags():
+    """Whether a row counts as right, and as local; columns need a running session, so they are made on demand."""
+    return {"correct": F.col("l_discount") <= 0.05, "local": F.col("l_linestatus") == "F"}
 
 
 def rounded(df, digits: int = 6):
@@ -25,7 +28,7 @@ round(avg((l_discount <= 0.05)::INT) FILTER (WHERE NOT l_linestatus = 'F'), 6) A
 @query(f"SELECT l_returnflag, {GROUP_METRICS} FROM lineitem GROUP BY l_returnflag")
 def group_metrics(read):
     rows = read("lineitem")
-    return rounded(agg.group_metrics(rows, ["l_returnflag"], plan="l_orderkey", error="l_quantity", correct=CORRECT, local=LOCAL))
+    return rounded(agg.group_metrics(rows, ["l_returnflag"], plan="l_orderkey", error="l_quantity", **flags()))
 
 
 @query(f"""SELECT l_shipmode_key, {GROUP_METRICS}, min(l_linenumber) AS node_min, max(l_linenumber) AS node_max,
@@ -34,7 +37,7 @@ FROM (SELECT *, l_suppkey % 7 AS l_shipmode_key FROM lineitem) GROUP BY l_shipmo
 def group_metrics_minmax(read):
     rows = read("lineitem").withColumn("l_shipmode_key", F.col("l_suppkey") % 7)
     extra = [F.min("l_linenumber").alias("node_min"), F.max("l_linenumber").alias("node_max"), agg.single_or_null("l_linestatus").alias("single_status")]
-    return rounded(agg.group_metrics(rows, ["l_shipmode_key"], plan="l_orderkey", error="l_quantity", correct=CORRECT, local=LOCAL, extra=extra))
+    return rounded(agg.group_metrics(rows, ["l_shipmode_key"], plan="l_orderkey", error="l_quantity", **flags(), extra=extra))
 
 
 @query("""SELECT p_size, count(*) AS plans, count(*) FILTER (WHERE p_type LIKE '%STEEL%') AS connected, count(*) FILTER (WHERE p_brand <> 'Brand#11') AS valid,

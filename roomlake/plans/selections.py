@@ -54,7 +54,12 @@ def area_bins(read):
 
 
 LEVELS = ("low", "medium", "high", "top")
-LEVEL = F.when(F.col("p_retailprice") < 1100, "low").when(F.col("p_retailprice") < 1400, "medium").when(F.col("p_retailprice") < 1650, "high").otherwise("top")
+
+
+def level():
+    return F.when(F.col("p_retailprice") < 1100, "low").when(F.col("p_retailprice") < 1400, "medium").when(F.col("p_retailprice") < 1650, "high").otherwise("top")
+
+
 LEVEL_SQL = "CASE WHEN p_retailprice < 1100 THEN 'low' WHEN p_retailprice < 1400 THEN 'medium' WHEN p_retailprice < 1650 THEN 'high' ELSE 'top' END"
 
 
@@ -65,20 +70,20 @@ pos AS (SELECT * FROM (VALUES ('low', 1), ('medium', 2), ('high', 3), ('top', 4)
 SELECT family, asked, got, drawn, CASE WHEN got <> asked THEN asked END AS fallback_from FROM (
 SELECT family, asked, got, drawn, row_number() OVER (PARTITION BY family, asked ORDER BY abs(g.k - a.k), g.k) AS r FROM asked JOIN drawn USING (family) JOIN pos g ON g.name = got JOIN pos a ON a.name = asked) WHERE r = 1""")
 def eligible_with_fallback(read):
-    stock = read("part").select(F.concat_ws("/", "p_brand", "p_size").alias("family"), LEVEL.alias("level"), "p_partkey")
+    stock = read("part").select(F.concat_ws("/", "p_brand", "p_size").alias("family"), level().alias("level"), "p_partkey")
     wanted = stock.select("family").distinct().withColumn("level", F.explode(F.array(*[F.lit(x) for x in LEVELS])))
     return sampling.draw_with_fallback(wanted, stock, family="family", level="level", levels=LEVELS, index="p_partkey", seed=5)
 
 
 @query(f"""SELECT p_partkey, CASE {LEVEL_SQL} WHEN 'low' THEN 'low,medium,high,top' WHEN 'medium' THEN 'medium,low,high,top' WHEN 'high' THEN 'high,medium,top,low' ELSE 'top,high,medium,low' END AS nearest FROM part""")
 def nearest_class_order(read):
-    return read("part").select("p_partkey", F.array_join(sampling.class_distance_order(LEVELS, LEVEL), ",").alias("nearest"))
+    return read("part").select("p_partkey", F.array_join(sampling.class_distance_order(LEVELS, level()), ",").alias("nearest"))
 
 
 @query(f"""SELECT p_type, string_agg(DISTINCT {LEVEL_SQL}, ',' ORDER BY {LEVEL_SQL}) AS classes, arg_max(p_brand, (p_retailprice, -p_partkey)) AS default_family FROM part GROUP BY p_type""")
 def catalog_available_classes(read):
     default = F.max_by("p_brand", F.struct("p_retailprice", -F.col("p_partkey")))
-    return read("part").withColumn("level", LEVEL).groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("level")), ",").alias("classes"), default.alias("default_family"))
+    return read("part").withColumn("level", level()).groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("level")), ",").alias("classes"), default.alias("default_family"))
 
 
 @query("""SELECT s_suppkey, s_nationkey FROM (SELECT *, max(s_acctbal > 8000) OVER (PARTITION BY s_nationkey) AS any_one FROM supplier) WHERE s_acctbal > 8000 OR NOT any_one""")
