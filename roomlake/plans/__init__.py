@@ -1,6 +1,6 @@
 """Named queries over the standard tables, with SQL that says the same."""
 
-from roomlake.plans import arrays, metrics, scenes, selections, signals, streams
+from roomlake.plans import arrays, catalogue, metrics, scenes, selections, signals, streams
 from roomlake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "arrays", "metrics", "scenes", "selections", "signals", "streams"]
+__all__ = ["ORACLES", "QUERIES", "arrays", "catalogue", "metrics", "scenes", "selections", "signals", "streams"]
