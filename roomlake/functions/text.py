@@ -50,4 +50,4 @@ def label_seed(label: Column) -> Column:
 
 
 def metric_text(value: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f", value))
