@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roomlake import streaming
-from roomlake.functions import geometry, shapes, text
+from roomlake import engine, streaming
+from roomlake.functions import acoustics, geometry, shapes, text
 from roomlake.operators import agg, arrays, graph, materials, motion, placement, selection, solve
 from roomlake.sources import audio, scenes, sqlite, tables
 from roomlake.storage import Workspace, shared_dir
@@ -168,3 +168,16 @@ def test_workspace(spark):
     space.drop("a")
     with pytest.raises(Exception):
         space.spark.read.parquet(space.path("a")).count()
+
+
+def test_engine(spark, packed):
+    plan = acoustics.plan_from_program([("living", 4), ("bed", 2)], 7, 5, 1)
+    scene = engine.Scene.create(spark, "geometry", shape="l_shape", size=(6, 4, 2.8), absorption=0.3)
+    got = scene.run_sources({"a": (1, 1, 1.2), "b": (1, 3, 1.2)}, (4, 1, 1.5), seconds=0.2).collect()
+    assert {r.source_id for r in got} == {"a", "b"} and all(len(r.rir) == 3200 and np.isfinite(r.rir).all() and max(r.rir) > 0 for r in got)
+    assert scene.run_dynamic((1, 1, 1.2), (4, 1, 1.5), mode="recede", distance=0.4, seconds=0.1).count() >= 3
+    assert engine.Scene.create(spark, "custom", plan=plan).about["room"] == "living_0"
+    assert engine.Scene.create(spark, "floorplan", scenes=scenes.read_packed(spark, packed), idx=2, room="b").corners[0] == (5.0, 0.0)
+    for wrong in (lambda: scene.run((9, 9, 1), (4, 1, 1.5)), lambda: engine.Scene.create(spark, "moon"), lambda: engine.Scene.create(spark, "floorplan", scenes=scenes.read_packed(spark, packed), idx=99)):
+        with pytest.raises(ValueError):
+            wrong()
