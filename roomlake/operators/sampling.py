@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomlake.operators import ranking
+
 KNUTH, PRIME = 2654435761, 2147483647
 
 
@@ -24,8 +26,7 @@ def equal_count_sample(rows: DataFrame, keys: Sequence[str], *, area: str, index
 
     Groups of fewer than ``n`` rows give all.
     """
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("_at", F.row_number().over(w.orderBy(area, index)) - 1).withColumn("_c", F.count("*").over(w))
+    placed = ranking.with_place(rows, keys, value=area, index=index)
     strata = F.least(F.lit(n), F.col("_c"))
     # the stratum of place p is the largest i with floor(i c / n) <= p
     placed = placed.withColumn("stratum", F.floor(((F.col("_at") + 1) * strata - 1) / F.col("_c")).cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roomlake import engine, streaming
 from roomlake.functions import acoustics, geometry, shapes, text
-from roomlake.operators import agg, arrays, graph, materials, motion, placement, selection, solve
+from roomlake.operators import agg, arrays, graph, materials, motion, placement, ranking, selection, solve
 from roomlake.sources import audio, scenes, sqlite, tables
 from roomlake.storage import Workspace, shared_dir
 
@@ -181,3 +181,12 @@ def test_engine(spark, packed):
     for wrong in (lambda: scene.run((9, 9, 1), (4, 1, 1.5)), lambda: engine.Scene.create(spark, "moon"), lambda: engine.Scene.create(spark, "floorplan", scenes=scenes.read_packed(spark, packed), idx=99)):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_places_are_exact(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(k % 7 > 3), k, None if k % 11 == 0 else float(rng.integers(0, 20))) for k in range(500)]
+    got = ranking.with_place(spark.createDataFrame(data, "g int, i int, v double"), ["g"], value="v", index="i", ranges=8).collect()
+    for g in (0, 1):
+        own = sorted((r for r in data if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        assert {r.i: (r["_at"], r["_c"]) for r in got if r.g == g} == {r[1]: (k, len(own)) for k, r in enumerate(own)}
