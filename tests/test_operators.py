@@ -1,5 +1,7 @@
 """Catalogue, sources, batch and streaming operators on small tables."""
 
+import base64
+import io
 import json
 import sqlite3
 import zlib
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from roomlake import engine, streaming
 from roomlake.functions import acoustics, geometry, shapes, text
 from roomlake.operators import agg, arrays, graph, materials, motion, placement, ranking, selection, solve
-from roomlake.sources import audio, scenes, sqlite, tables
+from roomlake.sources import audio, exports, scenes, sqlite, tables
 from roomlake.storage import Workspace, shared_dir
 
 ROOMS = [{"id": "a", "type": "living", "area_m2": 20.0, "corners": [[0, 0], [5, 0], [5, 4], [0, 4]]}, {"id": "b", "type": "bed", "area_m2": 12.0, "corners": [[5, 0], [8, 0], [8, 4], [5, 4]]}]
@@ -190,3 +192,17 @@ def test_places_are_exact(spark):
     for g in (0, 1):
         own = sorted((r for r in data if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
         assert {r.i: (r["_at"], r["_c"]) for r in got if r.g == g} == {r[1]: (k, len(own)) for k, r in enumerate(own)}
+
+
+def test_exports(spark):
+    rows = spark.createDataFrame([(1, [0.0, -3.0, 1.0, 2.0, 2.0], 0.5), (2, [], 0.1)], "k int, rir array<double>, rt60 double")
+    got = rows.select("k", exports.preview(F.col("rir"), 2).alias("p"), exports.as_npy(F.col("rir")).alias("n"), exports.rir_payload(8000, F.col("rir"), F.col("rt60")).alias("j")).orderBy("k").collect()
+    assert got[0].p == [-3.0, 2.0] and np.load(io.BytesIO(got[0].n)).tolist() == [0.0, -3.0, 1.0, 2.0, 2.0] and got[1].p == []
+    doc = json.loads(got[0].j)
+    assert np.frombuffer(base64.b64decode(doc["float32"]), "<f4").tolist() == [0.0, -3.0, 1.0, 2.0, 2.0] and doc["rt60"] == 0.5
+    cases = spark.createDataFrame([("pass", 1.0), ("skip", 0.5)], "status string, seconds double")
+    s = exports.status_summary(cases).first()
+    assert (s.cases, s.skip, s.required_passed, s.seconds) == (2, 1, True, 1.5)
+    assert exports.markdown(cases).splitlines()[2] == "| pass | 1.000 |" and exports.keep_latest(cases, time="seconds", n=1).first().status == "pass"
+    frames = spark.createDataFrame([(1, k, "a" if k < 3 else "b") for k in range(6)], "j int, f int, room string")
+    assert exports.first_changes(frames, ["j"], order="f", value="room").first().first_change == 3
