@@ -24,7 +24,8 @@ A fifth of the bits may differ then, and 64 bits tell too little: unrelated
 texts of a large corpus come that close by chance. Fingerprints have 256 bits
 there. Rows meet by sampled bits, in as many tables as find a pair of Jaccard
 similarity 0.8 with a probability of ``RECALL``; the sample grows with the
-logarithm of the number of rows, so that chance meetings stay in proportion. A
+logarithm of the number of rows, so that a row meets two to four others by chance
+in a table, however many rows there are. A
 place with many members is handled by a kernel that compares them to pivots
 first and emits a spanning forest only; one with more than ``PLACE_LIMIT`` is
 divided by further bits, again in as many tables as ``RECALL`` asks for.
@@ -297,7 +298,7 @@ def spanning_links(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def wide_links(fps: DataFrame, space: Workspace, n_rows: int, *, similarity: float = 0.8) -> DataFrame:
     """Edges (a, b) between distinct wide fingerprints that share the given part of their bits, a < b."""
     distance = math.floor(WIDE_BITS * (1 - similarity) + 1e-9)
-    bits, level, parts, source = max(12, math.ceil(math.log2(max(2, n_rows)))), 0, [], fps
+    bits, level, parts, source = max(12, math.ceil(math.log2(max(2, n_rows))) - 2), 0, [], fps
 
     def kernel(batches):
         for batch in batches:
