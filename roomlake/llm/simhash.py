@@ -42,6 +42,7 @@ other columns           of the input are ignored
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -75,30 +76,35 @@ def _signed(value: int) -> int:
 
 def fingerprint(text: bytes, *, words: int, seed: int = SEED) -> int:
     """The signed fingerprint of one text."""
-    if not (parts := shingles(text, words)):
-        return 0
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(x, seed) for x in parts), "<u8", len(parts))
-    return int(majority(h.view(np.uint8).reshape(-1, 8)).view("<i8")[0])
+    return int(majority(text, words, 8, lambda parts: np.fromiter((hashed(x, seed) for x in parts), "<u8", len(parts)).tobytes()).view("<i8")[0])
 
 
-def shingles(text: bytes, words: int) -> list[bytes]:
-    """All word shingles of the lower-cased text, space-joined; of fewer words the whole sequence, of none nothing."""
+#: Shingles hashed at a time.
+STRETCH = 1 << 13
+
+
+def shingles(text: bytes, words: int) -> Iterator[list[bytes]]:
+    """All word shingles of the lower-cased text, space-joined, in stretches; of fewer words the whole sequence, of none nothing."""
     tokens = text.lower().split()  # bytes: A-Z only, and blanks \x20 and \x09-\x0D only
     if not tokens:
-        return []
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     n = max(1, len(tokens) - words + 1)
-    return [joined[a:b] for a, b in zip([0, *(ends[: n - 1] + 1).tolist()], ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)]
+    del tokens
+    starts, stops = np.concatenate([[0], ends[: n - 1] + 1]), ends[min(words, len(ends)) - 1 :]
+    for at in range(0, n, STRETCH):
+        yield [joined[a:b] for a, b in zip(starts[at : at + STRETCH].tolist(), stops[at : at + STRETCH].tolist())]
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """The bits set in over half the rows of a byte matrix, packed with the lowest bit first."""
-    ones = np.zeros(8 * hashes.shape[1], np.int64)
-    for at in range(0, len(hashes), 1 << 13):
-        ones += np.unpackbits(hashes[at : at + (1 << 13)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little")
+def majority(text: bytes, words: int, size: int, hashes) -> np.ndarray:
+    """The bits set in over half the hashes (``size`` bytes each) of the shingles, packed with the lowest bit first; zero for none."""
+    ones, n = np.zeros(8 * size, np.int64), 0
+    for parts in shingles(text, words):
+        ones += np.unpackbits(np.frombuffer(hashes(parts), np.uint8).reshape(-1, size), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(parts)
+    return np.packbits(2 * ones > n, bitorder="little")
 
 
 def fingerprints(docs: DataFrame, *, words: int = 5, seed: int = SEED, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -151,7 +157,7 @@ def free_bits(choice: int, distance: int) -> list[int]:
     return [bit for b in range(BLOCKS) if b not in chosen for bit in range(WIDTH * b, WIDTH * b + WIDTH)]
 
 
-def links(fps: DataFrame, *, distance: int = 2) -> DataFrame:
+def links(fps: DataFrame, space: Workspace, *, distance: int = 2) -> DataFrame:
     """Edges (a, b) of a graph in which fingerprints are connected as by all pairs within ``distance``.
 
     ``fps``: distinct fingerprints. Midpoints that are no fingerprints may occur
@@ -162,6 +168,7 @@ def links(fps: DataFrame, *, distance: int = 2) -> DataFrame:
     n_choices = len(list(combinations(range(BLOCKS), BLOCKS - distance)))
     placed = distance_table(fps).select("fp", F.explode(meeting_keys(F.col("table"), distance)).alias("place"))
     met = placed.groupBy("place").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_list("fp").alias("members")).where("low < high")
+    met = space.save(met.select("place", "members"), "met")
     far = [p for _, group in pivots() for p in group]
     coords = lambda fp: F.array(*[coordinate(fp, p) for p in (0, *far)])
 
@@ -184,7 +191,7 @@ def links(fps: DataFrame, *, distance: int = 2) -> DataFrame:
 
 def components(fps: DataFrame, space: Workspace, *, distance: int = 2) -> DataFrame:
     """(fp, root) of every fingerprint that has a link; ``fps`` are distinct."""
-    return connected_components(links(fps, distance=distance), space)
+    return connected_components(links(fps, space, distance=distance), space)
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, *, words: int = 5, distance: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,10 +223,8 @@ WIDE = "struct<" + ",".join(f"w{k}:bigint" for k in range(WORDS_256)) + ">"
 
 def wide_fingerprint(text: bytes, *, words: int) -> bytes:
     """256 bits from two 128-bit hashes of each shingle; zero for no words."""
-    if not (parts := shingles(text, words)):
-        return bytes(WIDE_BITS // 8)
     hashed = xxhash.xxh3_128_digest
-    return majority(np.frombuffer(b"".join(hashed(x, s) for x in parts for s in (SEED, SEED + 1)), np.uint8).reshape(len(parts), -1)).tobytes()
+    return majority(text, words, WIDE_BITS // 8, lambda parts: b"".join(hashed(x, s) for x in parts for s in (SEED, SEED + 1))).tobytes()
 
 
 def _wide_array(fps: np.ndarray) -> pa.StructArray:
@@ -273,7 +278,7 @@ def spanning_links(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     distance of one is linked to it; of the others, pairs of one component and
     pairs whose distances to a pivot differ too much are never compared.
     """
-    n = len(members)
+    n, members = len(members), np.ascontiguousarray(members).view(np.uint64)  # bits of signed numbers are counted without the sign
     component, table, found = np.arange(n), [], []
 
     def distances(i, rows):
