@@ -32,20 +32,25 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 #: Stretches, and pieces, whose ids are remembered in each of two generations.
-REMEMBER = 250_000
+REMEMBER = 150_000
 REMEMBER_UP_TO = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to rank, from a file of base64 tokens and ranks."""
+    """Token bytes to rank, from a file of base64 tokens and ranks, which run from 0 without a gap."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    if sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError(f"the ranks of {path} have gaps")
+    return ranks
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[int], tuple[int, int] | None]:
@@ -211,19 +216,19 @@ class Tokenizer:
 
     def decode(self, df: DataFrame, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
         """``df`` with the decoded bytes of ``ids`` beside all other columns."""
-        tables, pattern = self.tables, self.pattern
+        tables = self.tables
         names = [f"c{k}" for k in range(len(df.columns))]
         at = names[df.columns.index(ids)]
 
         def run(batches):
-            tokens = pa.array(_vocabulary(tables.value, pattern).tokens, pa.binary())
+            ranks = tables.value[0]
+            tokens = pa.array(sorted(ranks, key=ranks.__getitem__), pa.binary())
             for batch in batches:
-                for k in range(0, batch.num_rows, 500):
-                    part = batch.slice(k, 500)
+                sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for part in slices(batch, sizes, 2 << 20):
                     lists = part.column(at)
                     data = tokens.take(lists.flatten())
-                    lengths = np.fromiter((len(x) if x.is_valid else 0 for x in lists), np.int64, len(lists))
-                    ends = np.concatenate([[0], np.cumsum(lengths)])
+                    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
                     _, offsets, values = data.buffers()
                     offsets = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int32)
                     joined = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(offsets[ends])), values if values is not None else pa.py_buffer(b"")])
@@ -234,11 +239,15 @@ class Tokenizer:
         return source.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)], F.col("_decoded").alias(decoded))
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
-    """Slices of a batch in which ``column`` (binary) has about ``most`` bytes, or a single row."""
-    lengths = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)), np.int64, batch.num_rows)
-    part = np.cumsum(lengths) // most
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
+    """Parts of a batch of about ``most`` in total size, or of a single row."""
+    part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+    """Slices of a batch in which ``column`` (binary) has about ``most`` bytes, or a single row."""
+    return slices(batch, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64), most)
