@@ -29,11 +29,13 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 MIN_SIZE, NORMAL_SIZE, MAX_SIZE = 16, 32, 96
 WINDOW = 16
 #: Zero bits asked for up to the normal size, and beyond it; among the highest, which all of the window's bytes reach.
@@ -177,17 +179,15 @@ def compare_with_next(docs: DataFrame, *, text: str = "text", parts: int | None
 
     @F.pandas_udf("int")
     def part_of(key):
-        return key.map(lambda k: len(edges) - int(np.searchsorted(edges, k)))  # descending
+        return pd.Series((len(edges) - np.searchsorted(edges, key.to_numpy(np.int64))).astype(np.int32))  # descending
 
     numbered = keyed.withColumn("_part", part_of("_key"))
     heads = sorted(map(tuple, keyed.select("_key").withColumn("_part", part_of("_key")).groupBy("_part").agg(F.max("_key").alias("head")).collect()))
     before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    if not before:
-        before = {lowest: 0}
-    earlier = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_key"))
-    places = F.when(earlier.isNotNull(), F.array(F.struct(F.col("_part").alias("at"), F.lit(0).alias("extra")), F.struct(earlier.alias("at"), F.lit(1).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("_part").alias("at"), F.lit(0).alias("extra")))
-    )
+    earlier = spark.createDataFrame(list(before.items()), "_key long, _earlier int")
+    numbered = numbered.join(F.broadcast(earlier), "_key", "left")  # a row a range
+    here = F.struct(F.col("_part").alias("at"), F.lit(0).alias("extra"))
+    places = F.when(F.col("_earlier").isNotNull(), F.array(here, F.struct(F.col("_earlier").alias("at"), F.lit(1).alias("extra")))).otherwise(F.array(here))
     dealt = numbered.withColumn("_place", F.explode(places)).select(F.col("_place.at").alias("_at"), F.col("_place.extra").alias("_extra"), "_key", "doc_id", "_text")
     ordered = dealt.repartition("_at").sortWithinPartitions("_at", "_extra", F.desc("_key"), "_text")
 

@@ -46,20 +46,40 @@ MOST_WRONG = 0.005
 ROUNDS = 100
 
 
+#: Words from which repeats are counted on numbers in arrays, which take less memory and give the same.
+LONG = 20_000
+
+
+def repeated_words(words: list[bytes]) -> int:
+    """Words that lie in a window of three found twice or more."""
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == len(windows):
+        return 0
+    found, covered, upto = Counter(windows), 0, 0
+    for k, window in enumerate(windows):
+        if found[window] > 1:
+            covered += k + 3 - max(k, upto)
+            upto = k + 3
+    return covered
+
+
+def repeated_words_long(words: list[bytes]) -> int:
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    pairs = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)[1].ravel()
+    _, which, counts = np.unique(pairs[:-1] * len(known) + ids[2:], return_inverse=True, return_counts=True)
+    hit = counts[which.ravel()] > 1
+    covered = np.zeros(len(words), bool)
+    for shift in range(3):
+        covered[shift : shift + len(hit)] |= hit
+    return int(covered.sum())
+
+
 def measure(text: bytes) -> tuple[int, ...]:
     """The measures of one text, in the order of ``MEASURES``."""
     words = text.split()  # blanks \\x20 and \\x09-\\x0D only
     n = len(words)
-    windows = list(zip(words, words[1:], words[2:]))
-    if len(set(windows)) == len(windows):
-        repeated = 0
-    else:
-        found, covered, upto = Counter(windows), 0, 0
-        for k, window in enumerate(windows):
-            if found[window] > 1:
-                covered += k + 3 - max(k, upto)
-                upto = k + 3
-        repeated = covered
+    repeated = repeated_words(words) if n < LONG else repeated_words_long(words)
     lines = [line for line in text.split(b"\n") if line.split()]
     code_points = sum(map(len, words)) - _continuations(text)
     upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
