@@ -212,7 +212,8 @@ def test_crowded_places_are_divided(spark, monkeypatch):
 def test_spanning_links(distance):
     rng = np.random.default_rng(distance)
     m = rng.integers(0, 2, (120, 1)) * rng.integers(0, 1 << 40, (120, 4)) ^ rng.integers(0, 64, (120, 4))
-    near = lambda a, b: int(np.bitwise_count(a ^ b).sum()) <= distance
+    m[::3] *= -1
+    near = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= distance
     pairs = simhash.spanning_links(m, distance)
     assert all(near(m[i], m[j]) for i, j in pairs) and len(pairs) < len(m)
     want = brute_components(list(m), near)
@@ -369,6 +370,14 @@ def test_weak_supervision(spark):
     assert weak.quality_rules(documents(spark, rows).limit(0), Workspace(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [2, 7, 50])
+def test_long_texts_count_repeats_alike(vocabulary):
+    words = [b"%d" % w for w in np.random.default_rng(vocabulary).integers(0, vocabulary, 300)]
+    for n in (0, 1, 2, 3, 4, 300):
+        expected = brute_measures(b" ".join(words[:n]).decode())[4]
+        assert weak.repeated_words(words[:n]) == expected and (n < 3 or weak.repeated_words_long(words[:n]) == expected)
+
+
 def test_em_counts_equal_rows():
     rng = np.random.default_rng(3)
     votes = rng.integers(-1, 2, (500, 4))

@@ -48,7 +48,7 @@ def test_line_stage(spark, docs):
 def test_near_dedup_stage(spark, docs):
     got = corpus_pipeline.keep_one_of_similar(spark, docs, SF)
     named = [r for r in docs.collect() if r.doc_id is not None]
-    prints = np.stack([np.frombuffer(simhash.wide_fingerprint((r.text or "").encode(), words=5), "<i8") for r in named])
+    prints = np.stack([np.frombuffer(simhash.wide_fingerprint((r.text or "").encode(), words=5), "<u8") for r in named])
     parent = list(range(len(named)))
 
     def find(k):
@@ -104,3 +104,9 @@ def test_queries_return_every_row(spark, name):
 
 def test_lines_ratio_is_documented():
     assert 0 < lines.RATIO < 1 and lines.MIN_PAGES > 1
+
+
+@pytest.mark.parametrize("name", ["op5_source_mix", "op7_line_dedup", "op2_chat_format"])
+def test_native_plans_run_no_python(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
