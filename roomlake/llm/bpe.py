@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roomlake.llm.memory import releasing
 
 #: Stretches, and pieces, whose ids are remembered in each of two generations.
 REMEMBER = 150_000
@@ -160,6 +161,13 @@ class Vocabulary:
                 at -= lengths.pop()
         return found
 
+    def forget(self) -> None:
+        """Keep one generation of pieces only, for the next task."""
+        self.after_blank.clear()
+        self.after_blank.older = {}
+        self.pieces.older = {}
+        self.compatible.cache_clear()
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as native 32-bit integers."""
         first, *rest = split_before_blanks(text)
@@ -209,10 +217,11 @@ class Tokenizer:
                     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded], dtype=np.int64)]).astype(np.int32)
                     values = pa.array(np.frombuffer(b"".join(encoded), np.int32), pa.int32())
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), values)], [*names, "_ids"])
+            vocabulary.forget()
 
         source = df.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(others, names)], F.col(f"`{text}`").cast("binary").alias("_text"))
         schema = T.StructType([*[T.StructField(n, f.dataType) for f, n in zip(others, names)], T.StructField("_ids", T.ArrayType(T.IntegerType()))])
-        return source.mapInArrow(run, schema).select(*[F.col(n).alias(f.name) for f, n in zip(others, names)], F.col("_ids").alias(ids))
+        return source.mapInArrow(releasing(run), schema).select(*[F.col(n).alias(f.name) for f, n in zip(others, names)], F.col("_ids").alias(ids))
 
     def decode(self, df: DataFrame, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
         """``df`` with the decoded bytes of ``ids`` beside all other columns."""
@@ -236,7 +245,7 @@ class Tokenizer:
 
         source = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
         schema = T.StructType([*source.schema.fields, T.StructField("_decoded", T.BinaryType())])
-        return source.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)], F.col("_decoded").alias(decoded))
+        return source.mapInArrow(releasing(run), schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)], F.col("_decoded").alias(decoded))
 
 
 def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int):

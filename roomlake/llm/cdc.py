@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomlake.llm.memory import releasing
 
 MIN_SIZE, NORMAL_SIZE, MAX_SIZE = 16, 32, 96
 WINDOW = 16
@@ -121,7 +122,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
     source = docs.select("doc_id", F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return source.mapInArrow(releasing(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def with_likeness(pairs: DataFrame, left: str, right: str, *, column: str = "likeness") -> DataFrame:
@@ -214,5 +215,5 @@ def compare_with_next(docs: DataFrame, *, text: str = "text", parts: int | None
         columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns[1:], RESULT))], ["doc_id", *RESULT.names])
 
-    result = ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    result = ordered.mapInArrow(releasing(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return result.withColumn("doc_id", F.col("doc_id").cast(id_type))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomlake.llm.bpe import by_bytes
+from roomlake.llm.memory import releasing
 
 #: Labelled documents to fit on, those of the smallest hashes; longer ones than MAX_LINES are passed over when fitting.
 SAMPLE = 6000
@@ -184,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, text: str
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.list_(pa.float32()))], ["quality", "features"])
 
     joined = docs.select("doc_id", F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id").select("quality", "_text")  # ``sample`` rows at most
-    collected = joined.mapInArrow(features, "quality int, features array<float>").toArrow().sort_by([("quality", "ascending")])
+    collected = joined.mapInArrow(releasing(features), "quality int, features array<float>").toArrow().sort_by([("quality", "ascending")])
     rows = sorted((q, np.array(f, np.float32).tobytes()) for q, f in zip(collected.column("quality").to_pylist(), collected.column("features").to_pylist()))
     chains = [with_neighbours(np.frombuffer(f, np.float32).reshape(-1, len(FEATURES))) for _, f in rows]
     return fit(chains, [q for q, _ in rows])
@@ -202,4 +203,4 @@ def score_documents(docs: DataFrame, field: LineField, *, text: str = "text", ke
 
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").cast("binary").alias("_text"))
     schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + ", _score double"
-    return source.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("_score").alias(column))
+    return source.mapInArrow(releasing(run), schema).select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("_score").alias(column))

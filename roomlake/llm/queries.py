@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomlake.llm import bpe, cdc, chat, crf, lines, mixing, simhash, tokenscan, warc, weak
+from roomlake.llm.memory import bounded_batches
 from roomlake.storage import Workspace
 
 #: Parameters of the queries.
@@ -25,6 +26,7 @@ MIX = mixing.MixPlan(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +37,7 @@ def source_labels(docs: DataFrame) -> dict[str, Column]:
 
 
 def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
+    bounded_batches(spark)
     return bpe.Tokenizer(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 

@@ -53,6 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomlake.llm.components import connected_components
+from roomlake.llm.memory import releasing
 from roomlake.storage import Workspace
 
 SEED = 42
@@ -116,7 +117,7 @@ def fingerprints(docs: DataFrame, *, words: int = 5, seed: int = SEED, text: str
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps, pa.int64())], [*keep, "fp"])
 
     source = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(of, ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", fp long")
+    return source.mapInArrow(releasing(of), ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", fp long")
 
 
 def as_hex(fp: Column) -> Column:
@@ -242,7 +243,7 @@ def wide_fingerprints(docs: DataFrame, *, words: int, text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), _wide_array(fps)], [*keep, "fp"])
 
     source = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(of, ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", fp {WIDE}")
+    return source.mapInArrow(releasing(of), ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", fp {WIDE}")
 
 
 def n_tables(bits: int) -> int:
@@ -267,7 +268,7 @@ def sampled_places(fps: DataFrame, bits: int, level: int) -> DataFrame:
                 above = np.repeat(part.column("place").to_numpy(), tables) if level else np.zeros(keys.size, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(above), pa.array(keys.ravel().view(np.int64)), _wide_array(np.repeat(matrix, tables, axis=0))], ["above", "key", "fp"])
 
-    placed = fps.mapInArrow(of, f"above bigint, key bigint, fp {WIDE}")
+    placed = fps.mapInArrow(releasing(of), f"above bigint, key bigint, fp {WIDE}")
     return placed.select(F.xxhash64("above", "key").alias("place") if level else F.col("key").alias("place"), "fp")
 
 
@@ -321,7 +322,7 @@ def wide_links(fps: DataFrame, space: Workspace, n_rows: int, *, similarity: flo
         few = met.where(F.size("members") <= PAIRS_UP_TO).select(F.posexplode("members").alias("k", "a"), "members").select("a", F.explode(F.expr("slice(members, k + 2, size(members))")).alias("b"))
         apart = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(1, WORDS_256)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
         parts.append(few.where(apart <= distance))
-        parts.append(met.where(F.size("members") > PAIRS_UP_TO).select("members").mapInArrow(kernel, f"a {WIDE}, b {WIDE}"))
+        parts.append(met.where(F.size("members") > PAIRS_UP_TO).select("members").mapInArrow(releasing(kernel), f"a {WIDE}, b {WIDE}"))
         if not divided:
             break
         source, bits, level = placed.join(hot, "place").select("place", "fp"), SUB_BITS, level + 1

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomlake.llm.memory import releasing
 from roomlake.storage import Workspace
 
 BLOCK_TOKENS = 1 << 22
@@ -74,7 +75,7 @@ def write_token_files(encoded: DataFrame, root: str, *, separator: int, dtype: s
         if out is not None:
             out.close()
 
-    return encoded.select("doc_id", "ids").mapInArrow(write, f"path string, ordinal long, doc_id {encoded.schema['doc_id'].dataType.simpleString()}")
+    return encoded.select("doc_id", "ids").mapInArrow(releasing(write), f"path string, ordinal long, doc_id {encoded.schema['doc_id'].dataType.simpleString()}")
 
 
 def list_blocks(paths: DataFrame, *, dtype: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -92,7 +93,7 @@ def list_blocks(paths: DataFrame, *, dtype: str, block_tokens: int = BLOCK_TOKEN
                 lengths = np.minimum(block_tokens, size // width - starts)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(np.arange(len(starts))), pa.array(starts), pa.array(lengths)], ["path", "block", "start", "length"])
 
-    return paths.select("path").mapInArrow(stat, "path string, block long, start long, length long")
+    return paths.select("path").mapInArrow(releasing(stat), "path string, block long, start long, length long")
 
 
 def scan_blocks(blocks: DataFrame, *, separator: int, dtype: str) -> DataFrame:
@@ -110,7 +111,7 @@ def scan_blocks(blocks: DataFrame, *, separator: int, dtype: str) -> DataFrame:
                 edge = lambda k: pa.array([int(ends[k]) + start if len(ends) else None], pa.int64())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block]), pa.array([start]), pa.array([length]), pa.array([len(ends)]), edge(0), edge(-1), inner], ["path", "block", "start", "length", "n_ends", "first_end", "last_end", "inner"])
 
-    return blocks.mapInArrow(scan, "path string, block long, start long, length long, n_ends long, first_end long, last_end long, inner array<int>")
+    return blocks.mapInArrow(releasing(scan), "path string, block long, start long, length long, n_ends long, first_end long, last_end long, inner array<int>")
 
 
 def prefix_scan(blocks: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomlake.llm.memory import releasing
 from roomlake.storage import Workspace
 
 #: An archive file ends at this many compressed bytes or records, whichever comes first.
@@ -156,7 +157,7 @@ def write_archives(pages: DataFrame, root: str, *, date: str = NO_DATE) -> DataF
                 )
         yield roller.manifest()
 
-    return pages.select("page_id", "url", "payload").mapInArrow(write, MANIFEST)
+    return pages.select("page_id", "url", "payload").mapInArrow(releasing(write), MANIFEST)
 
 
 def read_headers(manifest: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def read_headers(manifest: DataFrame) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, ARROW_HEADERS)
 
-    return manifest.select("path").mapInArrow(read, HEADERS)
+    return manifest.select("path").mapInArrow(releasing(read), HEADERS)
 
 
 def header_row(fields: dict[str, str], block: bytes) -> dict[str, object]:
@@ -242,7 +243,7 @@ def rewrite_archives(verdicts: DataFrame, root: str) -> DataFrame:
                         roller.add(fresh_record(*parse_record(raw), plan[offset]))
         yield roller.manifest()
 
-    return per_file.mapInArrow(rewrite, MANIFEST)
+    return per_file.mapInArrow(releasing(rewrite), MANIFEST)
 
 
 def fresh_record(fields: dict[str, str], block: bytes, plan: dict[str, object]) -> bytes:

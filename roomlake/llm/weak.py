@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomlake.llm.bpe import by_bytes
+from roomlake.llm.memory import releasing
 from roomlake.storage import Workspace
 
 SYMBOLS = b"#*$%&|<>"
@@ -106,7 +107,7 @@ def measures(docs: DataFrame, *, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rows[:, k]) for k in range(len(MEASURES)))], ["doc_id", *MEASURES])
 
     source = docs.select("doc_id", F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return source.mapInArrow(releasing(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def _per(top: str, below: str) -> Column:
