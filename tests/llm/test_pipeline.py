@@ -110,3 +110,46 @@ def test_lines_ratio_is_documented():
 def test_native_plans_run_no_python(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("few", [simhash.PAIRS_UP_TO, 2])
+def test_near_dedup_is_by_shingle_sets(spark, docs, monkeypatch, few):
+    """With two members a place is crowded, so that leaders and blocks are gone through as well."""
+    monkeypatch.setattr(simhash, "PAIRS_UP_TO", few)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1 << 12)
+    words = [f"w{k}" for k in range(60)]
+    # 56 five-word shingles; m altered words at the end leave 56 - m of 56 + m: 6 pass at 50 / 62, 7 do not at 49 / 63
+    planted = [(7000 + m, " ".join(words[: 60 - m] + [f"x{m}_{k}" for k in range(m)])) for m in (0, 6, 7)]
+    rng = np.random.default_rng(3)
+    base = [f"v{k}" for k in range(200)]
+    for c in range(80):
+        edited = list(base)
+        for at in rng.integers(0, 200, 2 + c % 3).tolist():
+            edited[at] = f"e{c}_{at}"
+        planted.append((7100 + c, " ".join(edited)))
+    more = spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in planted], docs.schema)
+    both = docs.unionByName(more)
+    named = [r for r in both.collect() if r.doc_id is not None]
+
+    def shingles(text):
+        w = text.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [shingles(r.text or "") for r in named], list(range(len(named)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if 5 * common >= 4 * (len(x) + len(sets[j]) - common):
+                parent[find(i)] = find(j)
+    least = {}
+    for k, r in enumerate(named):
+        least[find(k)] = min(least.get(find(k), r.doc_id), r.doc_id)
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_of_similar(spark, both, SF).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(least.values()) and kept.count(None) == 1
+    assert {7000, 7007} <= set(kept) and 7006 not in kept and 1 < sum(7100 <= x < 7200 for x in kept if x is not None) < 80
