@@ -340,6 +340,7 @@ def wide_links(fps: DataFrame, space: Workspace, n_rows: int, *, similarity: flo
 LATE_UP_TO = 100_000
 #: Shingles that a block of a crowded group has on average, at most.
 BLOCK_SHINGLES = 1 << 19
+ODD_BITS = 512
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -349,18 +350,24 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, *, words: int, text: str = "text", keep: tuple[str, ...]) -> DataFrame:
-    """The ``keep`` columns, ``fp`` (128-bit digest of the set), ``n`` and ``shingles``."""
+    """The ``keep`` columns, ``fp`` (64-bit digest of the set), ``n``, ``odd`` and ``shingles``.
+
+    A bit of ``odd`` says whether an odd number of shingles has its place as the
+    lowest bits; of two sets no more of these differ than elements do.
+    """
 
     def of(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"", words) for t in batch.column("_text")]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-            out = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, "fp", "n", "shingles"])
+            odd = [np.packbits(np.bincount(s & ODD_BITS - 1, minlength=ODD_BITS) & 1).view("<i8") for s in sets]
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (ODD_BITS // 64)), pa.array(np.concatenate([*odd, np.zeros(0, np.int64)])))
+            out = [pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64()), pa.array(np.diff(ends), pa.int32()), odd, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, "fp", "n", "odd", "shingles"])
 
     source = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(releasing(of), ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", fp binary, n int, shingles array<bigint>")
+    return source.mapInArrow(releasing(of), ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", fp bigint, n int, odd array<bigint>, shingles array<bigint>")
 
 
 def prefix_length(n: int, part: Fraction) -> int:
@@ -388,14 +395,14 @@ def prefixes(sets: DataFrame, part: Fraction, late: list[int]) -> DataFrame:
                 found.append(own[:m])
                 places.append(np.arange(m, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(keys, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["shingle", "fp", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(keys, pa.int64()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["shingle", "fp", "n", "place"])
 
-    return sets.select("fp", "shingles").mapInArrow(releasing(of), "shingle bigint, fp binary, n int, place int")
+    return sets.select("fp", "shingles").mapInArrow(releasing(of), "shingle bigint, fp bigint, n int, place int")
 
 
 def similar_in_blocks(first: np.ndarray, second: np.ndarray, sets: list[np.ndarray], root: list, part: Fraction) -> list[tuple[int, int]]:
     """Pairs (row of ``first``, row of ``second``) of similar sets that connect all that such pairs connect; rows of one root count as connected."""
-    _, component = np.unique(np.array([r.hex() for r in root]), return_inverse=True)
+    _, component = np.unique(np.array(root, np.int64), return_inverse=True)
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     starts, marks, found = np.cumsum(sizes) - sizes, np.zeros(len(vocabulary), np.int64), []
@@ -415,23 +422,28 @@ def similar_in_blocks(first: np.ndarray, second: np.ndarray, sets: list[np.ndarr
 
 
 def similar_sets(sets: DataFrame, space: Workspace, part: Fraction) -> DataFrame:
-    """Edges (a, b) that connect the sets (fp, n, shingles; distinct) as all pairs do whose intersection is ``part`` of their union, at least."""
-    length = (F.col("n") - F.ceil(F.col("n") * F.lit(part.numerator) / F.lit(part.denominator) - 1e-9) + 2).cast("int")  # one more at most does no harm here
-    often = sets.where("n > 0").select(F.explode(F.slice("shingles", F.lit(1), length)).alias("shingle")).groupBy("shingle").count().where(F.col("count") > PAIRS_UP_TO)
+    """Edges (a, b) that connect the sets (fp, n, odd, shingles; distinct) as all pairs do whose intersection is ``part`` of their union, at least."""
+    length = (F.col("n") - F.ceil(F.col("n") * F.lit(part.numerator) / F.lit(part.denominator) - 1e-9) + 2).cast("int")
+    # an eighth of the sets tells what is frequent; this decides about the order only, never about pairs
+    often = sets.where("n > 0 and pmod(fp, 8) = 0").select(F.explode(F.slice("shingles", F.lit(1), length)).alias("shingle")).groupBy("shingle").count().where(F.col("count") > max(1, PAIRS_UP_TO // 8))
     late = [r.shingle for r in often.orderBy(F.desc("count"), "shingle").limit(LATE_UP_TO).collect()][::-1]
-    posted = space.save(prefixes(sets, part, late), "posted")
-    met = space.save(posted.groupBy("shingle").agg(F.count("*").alias("members"), F.min(F.struct("fp", "n")).alias("leader")).where("members > 1"), "places")
+    met = prefixes(sets, part, late).groupBy("shingle").agg(F.collect_list(F.struct("fp", "n", "place")).alias("m")).where(F.size("m") > 1)
+    met = space.save(met.select("m"), "set-places")
 
     alike = lambda a, b: (F.least(a, b) * part.denominator >= F.greatest(a, b) * part.numerator)
-    few = posted.join(met.where(F.col("members") <= PAIRS_UP_TO).select("shingle"), "shingle").groupBy("shingle").agg(F.collect_list(F.struct("fp", "n", "place")).alias("m"))
+    few = met.where(F.size("m") <= PAIRS_UP_TO)
     pairs = few.select(F.posexplode("m").alias("k", "x"), "m").select("x", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("y")).where(alike(F.col("x.n"), F.col("y.n")))
     # before the shingle they have so many in common at most as the shorter part has, and from it on likewise
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
     pairs = pairs.where(rest * (part.numerator + part.denominator) >= (F.col("x.n") + F.col("y.n")) * part.numerator).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-    crowded = space.save(posted.join(met.where(F.col("members") > PAIRS_UP_TO).select("shingle", "leader"), "shingle").select(F.col("leader.fp").alias("a"), F.col("leader.n").alias("a_n"), F.col("fp").alias("b"), "n").distinct(), "crowded")
+    crowded = met.where(F.size("m") > PAIRS_UP_TO).select(F.array_min("m").alias("first"), F.explode("m").alias("x"))
+    crowded = space.save(crowded.select(F.col("first.fp").alias("a"), F.col("first.n").alias("a_n"), F.col("x.fp").alias("b"), F.col("x.n").alias("n")).distinct(), "crowded")
     stars = crowded.where("a <> b").where(alike(F.col("a_n"), F.col("n"))).select("a", "b")
 
-    asked = space.save(pairs.unionByName(stars).distinct(), "asked")
+    odd = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
+    apart = F.aggregate(F.zip_with("a_odd", "b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    possible = apart * (part.numerator + part.denominator) <= (F.col("a_n") + F.col("b_n")) * (part.denominator - part.numerator)
+    asked = space.save(pairs.unionByName(stars).distinct().join(odd("a"), "a").join(odd("b"), "b").where(possible).select("a", "b"), "asked")
     own = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     checked = asked.join(own("a"), "a").join(own("b"), "b").withColumn("common", common)
@@ -454,9 +466,9 @@ def similar_sets(sets: DataFrame, space: Workspace, part: Fraction) -> DataFrame
         fp = group.column("fp").to_pylist()
         values = [x.values.to_numpy() for x in group.column("shingles")]
         found = similar_in_blocks(np.flatnonzero(block == low), np.flatnonzero(block == high), values, group.column("root").to_pylist(), part)
-        return pa.table({"a": pa.array([min(fp[i], fp[j]) for i, j in found], pa.binary()), "b": pa.array([max(fp[i], fp[j]) for i, j in found], pa.binary())})
+        return pa.table({"a": pa.array([min(fp[i], fp[j]) for i, j in found], pa.int64()), "b": pa.array([max(fp[i], fp[j]) for i, j in found], pa.int64())})
 
-    more = member.groupBy("leader", "low", "high").applyInArrow(kernel, "a binary, b binary")
+    more = member.groupBy("leader", "low", "high").applyInArrow(kernel, "a bigint, b bigint")
     stars = rooted.where("fp <> root").select(F.col("root").alias("a"), F.col("fp").alias("b"))
     return space.save(stars.unionByName(more).distinct(), "set-links")
 
@@ -464,16 +476,16 @@ def similar_sets(sets: DataFrame, space: Workspace, part: Fraction) -> DataFrame
 def similar_documents(docs: DataFrame, space: Workspace, *, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, component_id of documents whose shingle sets have a Jaccard similarity of ``similarity`` at least, directly or through others.
 
-    Exact but for equal 64-bit hashes of different shingles.
+    Exact but for equal 64-bit hashes of different shingles or of different sets.
     """
     marked = space.save(shingle_sets(docs, words=words, text=text, keep=(id_column,)), "sets")
-    distinct = space.save(marked.groupBy("fp").agg(F.min(id_column).alias("first_id"), F.first("n").alias("n"), F.first("shingles").alias("shingles")), "distinct-sets")
+    distinct = space.save(marked.groupBy("fp").agg(F.min(id_column).alias("first_id"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("shingles").alias("shingles")), "distinct-sets")
     ids = space.save(marked.select(id_column, "fp"), "ids")
     space.drop("sets")
-    rooted = connected_components(similar_sets(distinct.select("fp", "n", "shingles"), space, Fraction(str(similarity))), space)
+    rooted = connected_components(similar_sets(distinct.select("fp", "n", "odd", "shingles"), space, Fraction(str(similarity))), space)
     first = distinct.select("fp", "first_id").join(rooted, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = space.save(first.join(smallest, "root").select("fp", "component_id"), "set-classes")
     out = space.save(ids.join(classes, "fp").select(id_column, "component_id"), "similar")
-    space.drop("ids", "distinct-sets", "posted", "places", "crowded", "asked", "sure", "rooted", "grouped", "set-links", "set-classes")
+    space.drop("ids", "distinct-sets", "set-places", "crowded", "asked", "sure", "rooted", "grouped", "set-links", "set-classes")
     return out
