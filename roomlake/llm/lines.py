@@ -15,8 +15,10 @@ Defined cases
 null or empty text  stays as it is
 lines without words are never counted and never dropped
 null hosts          are one host
-pages all of boilerplate stay whole: they are copies of other pages, which is
-                    for document deduplication to settle
+pages all of boilerplate lose every line with a word; what to do with the empty
+                    text is the caller's decision
+lines on fewer than ``AT_LEAST`` pages are no repetition of the site, however few
+                    pages it has: two pages may just be copies of each other
 repeated rows       are pages of their own
 empty table         no rows
 other columns       are passed through
@@ -30,8 +32,13 @@ from pyspark.sql import functions as F
 from roomlake.storage import Workspace
 
 RATIO = 0.1
-#: Pages that must contain a line; in a smaller host every line would be frequent.
-MIN_PAGES = 10
+#: Pages on which a line is no chance any more.
+AT_LEAST = 3
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, without user and port; null for what has none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
 
 
 def split_lines(text: Column) -> Column:
@@ -42,20 +49,20 @@ def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def boilerplate(pages: DataFrame, *, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, *, host: Column, text: str = "text", ratio: float = RATIO, at_least: int = AT_LEAST) -> DataFrame:
     """host, line_hash, pages, host_pages of every line that more than ``ratio`` of its host's pages contain."""
     hashes = F.array_distinct(F.transform(F.filter(split_lines(F.col(text)), has_word), lambda line: F.xxhash64(line)))
     # a marker line stands for the page itself, so that one pass counts lines and pages
     seen = pages.select(host.alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(hashes, F.array().cast("array<bigint>")))).alias("line_hash"))
-    counts = seen.groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where((F.col("pages") >= min_pages) | F.col("line_hash").isNull())
+    counts = seen.groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where((F.col("pages") >= at_least) | F.col("line_hash").isNull())
     totals = counts.where("line_hash is null").select(F.col("host").alias("of"), F.col("pages").alias("host_pages"))
     frequent = counts.where("line_hash is not null").join(totals, F.col("host").eqNullSafe(F.col("of")))
     return frequent.where(F.col("pages") > ratio * F.col("host_pages")).select("host", "line_hash", "pages", "host_pages")
 
 
-def drop_boilerplate(pages: DataFrame, space: Workspace, *, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, space: Workspace, *, host: Column, text: str = "text", ratio: float = RATIO, at_least: int = AT_LEAST) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and n_lines, n_dropped (int)."""
-    found = boilerplate(pages, host=host, text=text, ratio=ratio, min_pages=min_pages)
+    found = boilerplate(pages, host=host, text=text, ratio=ratio, at_least=at_least)
     table = space.save(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_hash").alias("_bad")), "boilerplate")
     return apply_boilerplate(pages, table, host=host, text=text)
 
@@ -69,8 +76,7 @@ def apply_boilerplate(pages: DataFrame, table: DataFrame, *, host: Column, text:
     shared = joined.withColumn("_shared", F.when(F.col("_bad").isNotNull(), F.array_intersect(own, F.col("_bad"))))
     touched = F.coalesce(F.size("_shared") > 0, F.lit(False))
     kept = F.filter(lines, lambda line: ~(has_word(line) & F.array_contains(F.col("_shared"), F.xxhash64(line))))
-    emptied = ~F.exists(F.col("_kept"), has_word)
-    out = shared.withColumn("_kept", F.when(touched, kept)).withColumn("_kept", F.when(F.col("_kept").isNotNull() & ~emptied, F.col("_kept")))
+    out = shared.withColumn("_kept", F.when(touched, kept))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     n_lines = F.when(F.col(f"_row.`{text}`").isNull(), F.lit(0)).otherwise(n_lines)
     columns = [F.coalesce(F.array_join("_kept", "\n"), F.col(f"_row.`{c}`")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in pages.columns]

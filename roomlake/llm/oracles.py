@@ -76,9 +76,8 @@ def op5(plan: mixing.MixPlan) -> str:
 OP7 = rf"""WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
 e AS (SELECT DISTINCT doc_id, source, unnest(parts) AS line FROM l), n AS (SELECT source, line, count(*) AS pages FROM e WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
 t AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
-bad AS (SELECT source, list(line) AS lines FROM n JOIN t USING (source) WHERE pages >= {lines.MIN_PAGES} AND pages > {lines.RATIO}::DOUBLE * host_pages GROUP BY source),
-k AS (SELECT l.*, list_filter(parts, lambda x: NOT list_contains(coalesce(lines, []), x)) AS kept FROM l LEFT JOIN bad USING (source)),
-f AS (SELECT *, CASE WHEN list_contains(list_transform(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), true) THEN kept ELSE parts END AS final FROM k)
-SELECT doc_id, source, coalesce(array_to_string(final, chr(10)), text) AS text, coalesce(len(parts), 0)::INT AS n_lines, coalesce(len(parts) - len(final), 0)::INT AS n_dropped FROM f"""
+bad AS (SELECT source, list(line) AS lines FROM n JOIN t USING (source) WHERE pages >= {lines.AT_LEAST} AND pages > {lines.RATIO}::DOUBLE * host_pages GROUP BY source),
+k AS (SELECT l.*, list_filter(parts, lambda x: NOT list_contains(coalesce(lines, []), x)) AS kept FROM l LEFT JOIN bad USING (source))
+SELECT doc_id, source, coalesce(array_to_string(kept, chr(10)), text) AS text, coalesce(len(parts), 0)::INT AS n_lines, coalesce(len(parts) - len(kept), 0)::INT AS n_dropped FROM k"""
 
 ORACLES: dict[str, str] = {"op1_warc_revisit": OP1, "op2_chat_format": op2(), "op5_source_mix": op5(queries.MIX), "op7_line_dedup": OP7}
