@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from roomlake.llm.bpe import by_bytes
 from roomlake.llm.memory import releasing
 
-#: Labelled documents to fit on, those of the smallest hashes; longer ones than MAX_LINES are passed over when fitting.
+#: Labelled documents to fit on, those of the smallest hashes.
 SAMPLE = 6000
-MAX_LINES = 400
+#: Lines of a chain when fitting; a longer document is cut into several, all of which are fitted.
+STRETCH = 400
 ROUNDS = 150
 RATE = 0.15
 RIDGE = 1e-3
@@ -140,7 +141,10 @@ def _forward_backward(potentials: list[np.ndarray], pairs: np.ndarray) -> list[t
 
 
 def fit(chains: list[np.ndarray], labels: list[int], *, rounds: int = ROUNDS) -> LineField:
-    """Maximum likelihood with a ridge, by Adam. A chain counts by the root of its length; both labels count alike in sum."""
+    """Maximum likelihood with a ridge, by Adam. A chain counts by the root of its length; both labels count alike in sum.
+
+    Chains are cut into stretches, so that the steps of the recursion are bounded.
+    """
     labels = np.asarray(labels)
     share = float(labels.mean()) if len(labels) else 0.5
     theta = np.zeros(WIDTH + 4)
@@ -151,6 +155,9 @@ def fit(chains: list[np.ndarray], labels: list[int], *, rounds: int = ROUNDS) ->
     mass = 1 / np.sqrt(lengths)
     for y in (0, 1):
         mass[labels == y] *= 0.5 / (mass[labels == y] * lengths[labels == y]).sum()
+    pieces = -(-lengths // STRETCH)
+    mass, labels = np.repeat(mass, pieces), np.repeat(labels, pieces)
+    lengths = np.concatenate([np.diff(np.append(np.arange(0, n, STRETCH), n)) for n in lengths])
     rows, line_mass, line_label = np.concatenate(chains).astype(np.float64), np.repeat(mass, lengths), np.repeat(labels, lengths)
     cuts = np.cumsum(lengths)[:-1]
     held = np.zeros((2, 2))
@@ -181,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, text: str
         for batch in batches:
             for part in by_bytes(batch, "_text"):
                 rows = [(q, line_features(t.as_py() or b"")[0]) for q, t in zip(part.column("quality").to_pylist(), part.column("_text"))]
-                rows = [(q, f.ravel().tolist()) for q, f in rows if len(f) <= MAX_LINES]
+                rows = [(q, f.ravel().tolist()) for q, f in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.list_(pa.float32()))], ["quality", "features"])
 
     joined = docs.select("doc_id", F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id").select("quality", "_text")  # ``sample`` rows at most
