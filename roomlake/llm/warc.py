@@ -40,6 +40,8 @@ from roomlake.storage import Workspace
 #: An archive file ends at this many compressed bytes or records, whichever comes first.
 ROLL_BYTES = 64 << 20
 ROLL_RECORDS = 100_000
+#: Tasks that archives are dealt to, at most; beyond, a task takes several.
+TASKS = 50_000
 NO_DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -160,8 +162,13 @@ def write_archives(pages: DataFrame, root: str, *, date: str = NO_DATE) -> DataF
     return pages.select("page_id", "url", "payload").mapInArrow(releasing(write), MANIFEST)
 
 
+def tasks_for(manifest: DataFrame) -> int:
+    """A task for each archive; said outright, as adaptive execution would put the few bytes of a manifest into one."""
+    return max(1, min(manifest.count(), TASKS))
+
+
 def read_headers(manifest: DataFrame) -> DataFrame:
-    """A row for each record of the archives named in ``manifest``.
+    """A row for each record of the archives named in ``manifest``, an archive a task.
 
     The digest and length of a response are taken from its payload; a header
     that says otherwise is an error. Revisits have those of their headers.
@@ -180,7 +187,7 @@ def read_headers(manifest: DataFrame) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, ARROW_HEADERS)
 
-    return manifest.select("path").mapInArrow(releasing(read), HEADERS)
+    return manifest.select("path").repartition(tasks_for(manifest)).mapInArrow(releasing(read), HEADERS)
 
 
 def header_row(fields: dict[str, str], block: bytes) -> dict[str, object]:
@@ -225,12 +232,13 @@ def resolve_revisits(headers: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def rewrite_archives(verdicts: DataFrame, root: str) -> DataFrame:
+def rewrite_archives(verdicts: DataFrame, root: str, *, tasks: int) -> DataFrame:
     """Write each source archive anew under the verdicts; lazily returns the manifest.
 
     The verdicts of one file are gathered in one row: ``ROLL_RECORDS`` at most.
+    Files are dealt to twice as many partitions as ``tasks``, so that few share one.
     """
-    per_file = verdicts.groupBy("path").agg(F.collect_list(F.struct("offset", "verdict", "payload_bytes", "refers_to_record", "refers_to", "refers_to_uri", "refers_to_date")).alias("plan"))
+    per_file = verdicts.repartition(2 * tasks, "path").groupBy("path").agg(F.collect_list(F.struct("offset", "verdict", "payload_bytes", "refers_to_record", "refers_to", "refers_to_uri", "refers_to_date")).alias("plan"))
 
     def rewrite(batches):
         roller = _Roller(root, "dedup")
@@ -264,7 +272,7 @@ def fresh_record(fields: dict[str, str], block: bytes, plan: dict[str, object])
 def deduplicate_archives(manifest: DataFrame, space: Workspace, *, min_bytes: int = 0) -> DataFrame:
     """The manifest of archives in which equal payloads stand once."""
     headers = space.save(read_headers(manifest), "headers")
-    out = space.save(rewrite_archives(resolve_revisits(headers, min_bytes=min_bytes), space.path("dedup")), "dedup-manifest")
+    out = space.save(rewrite_archives(resolve_revisits(headers, min_bytes=min_bytes), space.path("dedup"), tasks=tasks_for(manifest)), "dedup-manifest")
     space.drop("headers")
     return out
 
