@@ -35,6 +35,8 @@ from roomlake.storage import Workspace
 BLOCK_TOKENS = 1 << 22
 #: Blocks that one task of the scan's lower level sees.
 GROUP = 1024
+#: Tasks that blocks are dealt to, at most; beyond, a task takes several.
+TASKS = 50_000
 ROLL_TOKENS = 1 << 28
 
 
@@ -128,7 +130,9 @@ def prefix_scan(blocks: DataFrame) -> DataFrame:
 def count_tokens(paths: DataFrame, space: Workspace, *, separator: int, dtype: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """path, ordinal, n_tokens, terminated of every document in the files named in ``paths``."""
     listed = space.save(list_blocks(paths, dtype=dtype, block_tokens=block_tokens), "blocks")
-    scanned = space.save(scan_blocks(listed.repartition("path", "block"), separator=separator, dtype=dtype), "scanned")
+    # a row of the list stands for megabytes: a number of partitions that adaptive execution leaves alone
+    dealt = listed.repartition(max(1, min(listed.count(), TASKS)))
+    scanned = space.save(scan_blocks(dealt, separator=separator, dtype=dtype), "scanned")
     stitched = prefix_scan(scanned.drop("inner"))
     first = stitched.where("n_ends > 0").select("path", F.col("before").alias("ordinal"), (F.col("first_end") - F.col("last_before") - 1).alias("n_tokens"), F.lit(True).alias("terminated"))
     inner = (
