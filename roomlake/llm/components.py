@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from roomlake.storage import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, space: Workspace) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    # written, so that adaptive execution can split the edges of a star's centre in the join
+    lowest = space.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest-large")
     return both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, space: Workspace) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    lowest = down.groupBy("a").agg(F.min("b").alias("low"))
+    lowest = space.save(down.groupBy("a").agg(F.min("b").alias("low")), "lowest-small")
     moved = down.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct()
 
@@ -33,7 +34,8 @@ def connected_components(edges: DataFrame, space: Workspace, *, max_rounds: int
     measure = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("mark"))
     current, was = space.save(edges.select("a", "b"), "edges-0"), None
     for k in range(1, max_rounds + 1):
-        following = space.save(_small_star(_large_star(current)), f"edges-{k}")
+        larger = space.save(_large_star(current, space), "larger")
+        following = space.save(_small_star(larger, space), f"edges-{k}")
         now = tuple(following.agg(measure.alias("m")).first()["m"])
         space.drop(f"edges-{k - 1}")
         current = following

@@ -66,7 +66,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "simhash"), words=3, distance=2)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "simhash"), words=3)
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 

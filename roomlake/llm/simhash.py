@@ -1,19 +1,20 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Fingerprints are compared through their Hamming distances to fixed reference
-fingerprints (pivots). By the triangle inequality no coordinate of two
-fingerprints at distance k differs by more than k, so a pair with a larger
-coordinate difference is discarded before its own distance is taken.
-
-The pivots come in ``BLOCKS`` groups. Those of a group differ from the origin
-pivot within one block of 8 bits only, so their coordinates, less that of the
-origin, depend on that block alone. Of two fingerprints that differ in at most
-``k`` bits at most ``k`` blocks differ, hence the coordinates of some
-``BLOCKS - k`` groups agree. Rows meet by these coordinates, once for each choice
-of groups; no pair within distance k can be missed, and no other pairs are made.
-
-A meeting place holds distinct fingerprints only, which differ in ``8 k`` bits at
-most, so it is bounded whatever the input. Where more than ``PAIRS_UP_TO`` meet,
+Fingerprints are compared through their Hamming distances to ``PIVOTS`` reference
+fingerprints (pivots), which lie far apart. The distances are computed once for
+each distinct fingerprint and travel with it. By the triangle inequality no
+coordinate of two fingerprints at distance k differs by more than k, so a pair
+with a larger coordinate difference is discarded, and only survivors are verified
+by their own distance.
+
+Not all pairs can be formed, and distances to far pivots say too little to sort by:
+they are 32 give or take 4 for any fingerprint. Hence rows meet by blocks first:
+of ``BLOCKS`` blocks of bits at most k differ, so the others agree, and rows meet once for
+each choice of these. No pair within distance k can be missed. What meets but is
+farther apart differs in several of the other bits, whose signs rarely cancel
+against all pivots: that is what the table finds.
+
+A meeting place holds distinct fingerprints only. Where more than ``PAIRS_UP_TO`` meet,
 pairs are not enumerated: each member is linked to its *midpoints*, the values
 one free bit away. Two members share a midpoint exactly if they differ by two
 bits or fewer, so the graph has the same components with linearly many edges.
@@ -30,9 +31,6 @@ a place with more than ``PAIRS_UP_TO`` members each is compared to the first; wh
 that leaves members apart, all pairs of them are compared, block by block. That
 is quadratic for a large group of texts that are alike but not similar enough.
 
-The 256-bit fingerprints and their sampled tables (:func:`wide_links`) serve no
-query or stage.
-
 Defined cases
 -------------
 null or wordless text   fingerprint zero, linked like any other
@@ -47,7 +45,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -62,17 +60,38 @@ from roomlake.storage import Workspace
 
 SEED = 42
 BITS = 64
-BLOCKS = 8
-WIDTH = BITS // BLOCKS
+BLOCKS = 5
+#: Bits in which two texts may differ, for which the blocks and midpoints are made.
+DISTANCE = 2
+PIVOTS = 16
+#: Any two pivots differ in this many bits at least; of random ones in 32 on average.
+PIVOTS_APART = 28
 #: Members of a meeting place up to which pairs are enumerated; more are linked by midpoints.
 PAIRS_UP_TO = 32
-#: Within a block of 8 bits: the origin and single or double flips whose distances tell all 256 values apart.
-FLIPS = (0b00000001, 0b00000010, 0b00000100, 0b00001000, 0b00010000, 0b00100000, 0b01000000, 0b10000000)
+#: Distinct fingerprints that one task puts into places, on average.
+ROWS_A_TASK = 20_000
+
+
+@cache
+def pivots() -> tuple[int, ...]:
+    """The reference fingerprints: of the hashes of 0, 1, 2, ... those that are far enough from all before them."""
+    found: list[int] = []
+    for k in range(10_000):
+        value = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), SEED)
+        if len(found) < PIVOTS and all((value ^ p).bit_count() >= PIVOTS_APART for p in found):
+            found.append(value)
+    return tuple(found)
+
 
+def blocks() -> list[tuple[int, int]]:
+    """First bit and width of each block."""
+    cuts = [BITS * b // BLOCKS for b in range(BLOCKS + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
-def pivots() -> list[tuple[int, list[int]]]:
-    """For each block its number and its pivots, as signed longs; the origin pivot is zero."""
-    return [(b, [_signed(flip << (WIDTH * b)) for flip in FLIPS]) for b in range(BLOCKS)]
+
+def choices() -> list[tuple[int, ...]]:
+    """The blocks that agree, for each way in which they can."""
+    return list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
 
 
 def _signed(value: int) -> int:
@@ -129,211 +148,97 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def coordinate(fp: Column, pivot: int) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(pivot).cast("long")))
-
-
 def distance_table(fps: DataFrame) -> DataFrame:
-    """fp with ``table``: for each block the array of its pivots' distances, less the origin's."""
-    origin = coordinate(F.col("fp"), 0)
-    rows = [F.array(*[(coordinate(F.col("fp"), p) - origin).cast("byte") for p in group]) for _, group in pivots()]
-    return fps.select("fp", *[F.col(c) for c in fps.columns if c != "fp"], F.array(*rows).alias("table"))
+    """``fps`` with ``table``: the distances of fp to the pivots, a byte each."""
+    return fps.withColumn("table", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("byte") for p in pivots()]))
 
 
-def meeting_keys(table: Column, distance: int) -> Column:
-    """A long for each choice of blocks: the choice's number and the coordinates of the blocks chosen.
+def farthest_coordinate(a: Column, b: Column) -> Column:
+    """The largest difference of two rows of the table: a bound of the distance from below."""
+    return F.greatest(*[F.abs(a[k] - b[k]) for k in range(PIVOTS)])
 
-    A pivot one flip away is nearer or farther by one than the origin, so a
-    coordinate takes one bit.
-    """
-    code = lambda b: F.aggregate(table[b], F.lit(0).cast("long"), lambda acc, c: F.shiftleft(acc, 1).bitwiseOR((c < 0).cast("long")))
-    codes = [code(b) for b in range(BLOCKS)]
+
+def meeting_keys(fp: Column) -> Column:
+    """A long for each choice of blocks: the choice's number and the blocks' bits."""
+    bits = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for at, width in blocks()]
     keys = []
-    for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - distance)):
+    for k, chosen in enumerate(choices()):
         key = F.lit(k).cast("long")
         for b in chosen:
-            key = F.shiftleft(key, WIDTH).bitwiseOR(codes[b])
-        keys.append(key)
+            key = F.shiftleft(key, blocks()[b][1]).bitwiseOR(bits[b])
+        keys.append(F.struct(F.lit(k).alias("choice"), key.alias("key")))
     return F.array(*keys)
 
 
-def free_bits(choice: int, distance: int) -> list[int]:
-    chosen = set(list(combinations(range(BLOCKS), BLOCKS - distance))[choice])
-    return [bit for b in range(BLOCKS) if b not in chosen for bit in range(WIDTH * b, WIDTH * b + WIDTH)]
-
-
-def links(fps: DataFrame, space: Workspace, *, distance: int = 2) -> DataFrame:
-    """Edges (a, b) of a graph in which fingerprints are connected as by all pairs within ``distance``.
-
-    ``fps``: distinct fingerprints. Midpoints that are no fingerprints may occur
-    as ends.
-    """
-    if distance != 2:
-        raise ValueError("midpoints prove a distance of two only; for more see wide_links()")
-    n_choices = len(list(combinations(range(BLOCKS), BLOCKS - distance)))
-    placed = distance_table(fps).select("fp", F.explode(meeting_keys(F.col("table"), distance)).alias("place"))
-    met = placed.groupBy("place").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_list("fp").alias("members")).where("low < high")
-    met = space.save(met.select("place", "members"), "met")
-    far = [p for _, group in pivots() for p in group]
-    coords = lambda fp: F.array(*[coordinate(fp, p) for p in (0, *far)])
-
-    few = met.where(F.size("members") <= PAIRS_UP_TO).select(F.explode("members").alias("a"), "members").select("a", F.explode("members").alias("b")).where("a < b")
-    near = F.array_max(F.zip_with(coords(F.col("a")), coords(F.col("b")), lambda x, y: F.abs(x - y))) <= distance
-    verified = few.where(near).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-
-    shift = WIDTH * (BLOCKS - distance)
-    masks = [[0, *(_signed(1 << bit) for bit in free_bits(k, distance))] for k in range(n_choices)]
-    flips = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in masks])[F.shiftrightunsigned("place", shift).cast("int")]
-    many = (
-        met.where(F.size("members") > PAIRS_UP_TO)
-        .select(F.explode("members").alias("a"), flips.alias("flips"))
-        .select("a", F.explode("flips").alias("m"))
-        .select("a", F.col("a").bitwiseXOR(F.col("m")).alias("b"))
-        .where("a <> b")
-    )
-    return verified.unionByName(many).distinct()
-
-
-def components(fps: DataFrame, space: Workspace, *, distance: int = 2) -> DataFrame:
-    """(fp, root) of every fingerprint that has a link; ``fps`` are distinct."""
-    return connected_components(links(fps, space, distance=distance), space)
-
-
-def near_duplicates(docs: DataFrame, space: Workspace, *, words: int = 5, distance: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fp, component_id: the smallest id that is reachable over fingerprints within ``distance`` bits.
-
-    Copies meet in the distinct fingerprints (pre-aggregated), and their number
-    plays no part beyond. The last join is by fingerprint; adaptive execution can
-    split the side of the documents.
-    """
-    marked = space.save(fingerprints(docs, words=words, text=text, keep=(id_column,)), "fingerprints")
-    distinct = space.save(marked.groupBy("fp").agg(F.min(id_column).alias("first_id")), "distinct")
-    rooted = components(distinct.select("fp"), space, distance=distance)
-    first = distinct.join(rooted, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = space.save(first.join(smallest, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp").select(id_column, "fp", "component_id")
-
-
-WIDE_BITS = 256
-RECALL = 0.99
-#: Probability that a bit of two texts of Jaccard similarity 0.8 agrees (cosine 2J / (1 + J)).
-AGREE = 1 - math.acos(2 * 0.8 / 1.8) / math.pi
-PLACE_LIMIT = 8192
-PIVOTS_IN_PLACE = 8
-SUB_BITS = 8
-WORDS_256 = WIDE_BITS // 64
-WIDE = "struct<" + ",".join(f"w{k}:bigint" for k in range(WORDS_256)) + ">"
+def free_bits(choice: int) -> list[int]:
+    """The bits outside the blocks that agree."""
+    return [bit for b, (at, width) in enumerate(blocks()) if b not in choices()[choice] for bit in range(at, at + width)]
 
 
-def wide_fingerprint(text: bytes, *, words: int) -> bytes:
-    """256 bits from two 128-bit hashes of each shingle; zero for no words."""
-    hashed = xxhash.xxh3_128_digest
-    return majority(text, words, WIDE_BITS // 8, lambda parts: b"".join(hashed(x, s) for x in parts for s in (SEED, SEED + 1))).tobytes()
+def pairs_that_meet(met: DataFrame) -> DataFrame:
+    """x, y (fp and table each) of every pair in a place of ``met`` (choice, members), once a place."""
+    return met.select(F.posexplode("members").alias("k", "x"), "members").select("x", F.explode(F.expr("slice(members, k + 2, size(members))")).alias("y"))
 
 
-def _wide_array(fps: np.ndarray) -> pa.StructArray:
-    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WORDS_256)], [f"w{k}" for k in range(WORDS_256)])
+def survivors(pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that no pivot tells apart."""
+    return pairs.where(farthest_coordinate(F.col("x.table"), F.col("y.table")) <= DISTANCE)
 
 
-def _wide_matrix(column: pa.StructArray) -> np.ndarray:
-    return np.stack([column.field(k).to_numpy(zero_copy_only=False) for k in range(WORDS_256)], axis=1) if len(column) else np.zeros((0, WORDS_256), np.int64)
+def places(fps: DataFrame) -> DataFrame:
+    """choice, members (fp and table) of every place in which two or more of ``fps`` (distinct) meet."""
+    placed = distance_table(fps.select("fp")).select(F.struct("fp", "table").alias("member"), F.explode(meeting_keys(F.col("fp"))).alias("place"))
+    met = placed.groupBy("place").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
+    return met.select("place.choice", "members")
 
 
-def wide_fingerprints(docs: DataFrame, *, words: int, text: str = "text", keep: tuple[str, ...]) -> DataFrame:
-    def of(batches):
-        for batch in batches:
-            fps = np.frombuffer(b"".join(wide_fingerprint(t.as_py() or b"", words=words) for t in batch.column("_text")), "<i8").reshape(-1, WORDS_256)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), _wide_array(fps)], [*keep, "fp"])
-
-    source = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(releasing(of), ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", fp {WIDE}")
-
-
-def n_tables(bits: int) -> int:
-    """Tables of ``bits`` sampled bits that find a pair of Jaccard similarity 0.8 with ``RECALL``."""
-    return math.ceil(math.log(1 - RECALL) / math.log1p(-(AGREE**bits)))
+def links(fps: DataFrame, space: Workspace) -> DataFrame:
+    """Edges (a, b) of a graph in which fingerprints are connected as by all pairs within ``DISTANCE``.
 
+    ``fps``: distinct fingerprints. Midpoints that are no fingerprints may occur
+    as ends.
+    """
+    met = space.save(places(fps), "met")
+    near = survivors(pairs_that_meet(met.where(F.size("members") <= PAIRS_UP_TO))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    verified = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
 
-def sampled_places(fps: DataFrame, bits: int, level: int) -> DataFrame:
-    """A row for each table: place, fp. Below level 0 ``fps`` has the place that is divided, too."""
-    tables = n_tables(bits)
+    masks = [[0, *(_signed(1 << bit) for bit in free_bits(k))] for k in range(len(choices()))]
+    flips = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in masks])[F.col("choice")]
+    crowded = met.where(F.size("members") > PAIRS_UP_TO).select(F.explode("members.fp").alias("a"), flips.alias("flips"))
+    middle = crowded.select("a", F.explode("flips").alias("m")).select("a", F.col("a").bitwiseXOR(F.col("m")).alias("b")).where("a <> b")
+    return verified.unionByName(middle).distinct()
 
-    def of(batches):
-        rng = np.random.default_rng(SEED + level)
-        chosen = np.stack([rng.choice(WIDE_BITS, bits, replace=False) for _ in range(tables)])
-        powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                matrix = _wide_matrix(part.column("fp"))
-                ones = np.unpackbits(np.ascontiguousarray(matrix, "<i8").view(np.uint8), axis=1, bitorder="little")
-                keys = (ones[:, chosen].astype(np.uint64) * powers).sum(2, dtype=np.uint64) + (np.arange(tables, dtype=np.uint64) << np.uint64(bits))
-                above = np.repeat(part.column("place").to_numpy(), tables) if level else np.zeros(keys.size, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(above), pa.array(keys.ravel().view(np.int64)), _wide_array(np.repeat(matrix, tables, axis=0))], ["above", "key", "fp"])
 
-    placed = fps.mapInArrow(releasing(of), f"above bigint, key bigint, fp {WIDE}")
-    return placed.select(F.xxhash64("above", "key").alias("place") if level else F.col("key").alias("place"), "fp")
+def components(fps: DataFrame, space: Workspace) -> DataFrame:
+    """(fp, root) of every fingerprint that has a link; ``fps`` are distinct."""
+    return connected_components(links(fps, space), space)
 
 
-def spanning_links(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Pairs of rows within ``distance`` that connect all rows connected by such pairs; a pair at most for each row.
+def smallest_of_roots(first: DataFrame, space: Workspace) -> DataFrame:
+    """fp, component_id for ``first`` (fp, first_id, root): the smallest id of each root.
 
-    The first rows of open components serve as pivots: a row that lies within the
-    distance of one is linked to it; of the others, pairs of one component and
-    pairs whose distances to a pivot differ too much are never compared.
+    Both sides are written, so that adaptive execution can split a root of very
+    many fingerprints or send the small side to all tasks.
     """
-    n, members = len(members), np.ascontiguousarray(members).view(np.uint64)  # bits of signed numbers are counted without the sign
-    component, table, found = np.arange(n), [], []
-
-    def distances(i, rows):
-        return np.bitwise_count(members[rows] ^ members[i]).sum(1, dtype=np.int64)
-
-    for i in range(n):
-        rows = np.flatnonzero(component != component[i]) if len(table) >= PIVOTS_IN_PLACE else np.arange(n)
-        if len(table) < PIVOTS_IN_PLACE:
-            table.append(d := distances(i, rows))
-        else:
-            rows = rows[np.max([np.abs(c[rows] - c[i]) for c in table], axis=0) <= distance]
-            d = distances(i, rows)
-        for j in rows[d <= distance].tolist():
-            if component[j] != component[i]:
-                found.append((i, j))
-                component[component == component[j]] = component[i]
-        if (component == component[0]).all():
-            break
-    return found
+    first = space.save(first, "first")
+    smallest = space.save(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    return space.save(first.join(smallest, "root").select("fp", "component_id"), "classes")
 
 
-def wide_links(fps: DataFrame, space: Workspace, n_rows: int, *, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between distinct wide fingerprints that share the given part of their bits, a < b."""
-    distance = math.floor(WIDE_BITS * (1 - similarity) + 1e-9)
-    bits, level, parts, source = max(12, math.ceil(math.log2(max(2, n_rows))) - 2), 0, [], fps
+def near_duplicates(docs: DataFrame, space: Workspace, *, words: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, fp, component_id: the smallest id that is reachable over fingerprints within ``DISTANCE`` bits.
 
-    def kernel(batches):
-        for batch in batches:
-            for members in batch.column("members"):
-                matrix = _wide_matrix(members.values)
-                pairs = np.array(spanning_links(matrix, distance), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([_wide_array(matrix[pairs[:, 0]]), _wide_array(matrix[pairs[:, 1]])], ["a", "b"])
-
-    while True:
-        placed = space.save(sampled_places(source, bits, level), f"places-{level}")
-        hot = space.save(placed.groupBy("place").count().where(F.col("count") > PLACE_LIMIT).select("place"), f"hot-{level}")
-        divided = not hot.isEmpty()
-        usual = placed.join(hot, "place", "left_anti") if divided else placed
-        met = space.save(usual.groupBy("place").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1), f"met-{level}")
-        few = met.where(F.size("members") <= PAIRS_UP_TO).select(F.posexplode("members").alias("k", "a"), "members").select("a", F.explode(F.expr("slice(members, k + 2, size(members))")).alias("b"))
-        apart = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(1, WORDS_256)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
-        parts.append(few.where(apart <= distance))
-        parts.append(met.where(F.size("members") > PAIRS_UP_TO).select("members").mapInArrow(releasing(kernel), f"a {WIDE}, b {WIDE}"))
-        if not divided:
-            break
-        source, bits, level = placed.join(hot, "place").select("place", "fp"), SUB_BITS, level + 1
-    edges = reduce(DataFrame.unionByName, parts)
-    links = space.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
-    space.drop(*[f"{x}-{k}" for k in range(level + 1) for x in ("places", "hot", "met")])
-    return links
+    Copies meet in the distinct fingerprints (pre-aggregated), and their number
+    plays no part beyond. The last join is by fingerprint; adaptive execution can
+    split the side of the documents.
+    """
+    marked = space.save(fingerprints(docs, words=words, text=text, keep=(id_column,)), "fingerprints")
+    distinct = space.save(marked.groupBy("fp").agg(F.min(id_column).alias("first_id")), "distinct")
+    # the table is small before it is put into places, so Spark would read it in few tasks
+    dealt = distinct.select("fp").repartition(1 + distinct.count() // ROWS_A_TASK)
+    rooted = components(dealt, space)
+    classes = smallest_of_roots(distinct.join(rooted, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), space)
+    return marked.join(classes, "fp").select(id_column, "fp", "component_id")
 
 
 #: Shingles of crowded places that go last in the order of prefixes, at most; any set of them gives the same pairs.
@@ -483,9 +388,7 @@ def similar_documents(docs: DataFrame, space: Workspace, *, words: int = 5, simi
     ids = space.save(marked.select(id_column, "fp"), "ids")
     space.drop("sets")
     rooted = connected_components(similar_sets(distinct.select("fp", "n", "odd", "shingles"), space, Fraction(str(similarity))), space)
-    first = distinct.select("fp", "first_id").join(rooted, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = space.save(first.join(smallest, "root").select("fp", "component_id"), "set-classes")
+    classes = smallest_of_roots(distinct.select("fp", "first_id").join(rooted, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), space)
     out = space.save(ids.join(classes, "fp").select(id_column, "component_id"), "similar")
-    space.drop("ids", "distinct-sets", "set-places", "crowded", "asked", "sure", "rooted", "grouped", "set-links", "set-classes")
+    space.drop("ids", "distinct-sets", "set-places", "crowded", "asked", "sure", "rooted", "grouped", "set-links")
     return out
