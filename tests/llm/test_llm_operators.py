@@ -184,41 +184,25 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(documents(spark, rows).limit(0), Workspace(spark, "t")).count() == 0
 
 
-def test_crowded_places_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PLACE_LIMIT", 40)
-    rng = np.random.default_rng(5)
-    center = rng.integers(0, 256, 32, dtype=np.uint8)
-    bits = np.unpackbits(center)
-    members = []
-    for _ in range(200):
-        b = bits.copy()
-        b[rng.choice(256, 12, replace=False)] ^= 1
-        members.append(tuple(int(x) for x in np.packbits(b).view("<i8")))
-    df = spark.createDataFrame([(m,) for m in set(members)], f"fp {simhash.WIDE}")
-    links = simhash.wide_links(df, Workspace(spark, "t"), len(members)).collect()
-    parent = {m: m for m in members}
-
-    def find(k):
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    for r in links:
-        parent[find(tuple(r.a))] = find(tuple(r.b))
-    assert len({find(m) for m in members}) == 1
-
-
-@pytest.mark.parametrize("distance", [3, 10])
-def test_spanning_links(distance):
-    rng = np.random.default_rng(distance)
-    m = rng.integers(0, 2, (120, 1)) * rng.integers(0, 1 << 40, (120, 4)) ^ rng.integers(0, 64, (120, 4))
-    m[::3] *= -1
-    near = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= distance
-    pairs = simhash.spanning_links(m, distance)
-    assert all(near(m[i], m[j]) for i, j in pairs) and len(pairs) < len(m)
-    want = brute_components(list(m), near)
-    got = brute_components(list(range(len(m))), lambda a, b: (a, b) in set(pairs) or (b, a) in set(pairs))
-    assert got == want
+def test_pivots_lie_far_apart():
+    found = simhash.pivots()
+    assert len(found) == simhash.PIVOTS and all((a ^ b).bit_count() >= simhash.PIVOTS_APART for k, a in enumerate(found) for b in found[:k])
+
+
+def test_pivot_table_discards_what_is_far_and_nothing_near(spark):
+    """Pairs that meet differ in 1 to 24 bits here; the table must let all within two pass, and hardly any beyond four."""
+    rng = np.random.default_rng(8)
+    base, free, values = int(rng.integers(0, 1 << 62)), simhash.free_bits(0), set()
+    for m in range(25):
+        for _ in range(6):
+            values.add(simhash._signed(base ^ sum(1 << int(b) for b in rng.choice(free, m, replace=False))))
+    met = simhash.places(spark.createDataFrame([(v,) for v in sorted(values)], "fp long"))
+    pairs = simhash.pairs_that_meet(met).select("x", "y", F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))).alias("d")).cache()
+    compared, met_by = ({r.d: r["count"] for r in df.groupBy("d").count().collect()} for df in (simhash.survivors(pairs), pairs))
+    assert all(compared[d] == met_by[d] for d in met_by if d <= 2)
+    far = sum(n for d, n in met_by.items() if d > 4)
+    assert far > 5000 and sum(n for d, n in compared.items() if d > 4) < 0.02 * far
+    assert sum(compared.values()) < 0.1 * sum(met_by.values())
 
 
 # --- byte-level bpe ---------------------------------------------------------
@@ -393,6 +377,7 @@ def test_line_dedup(spark):
     rows = [(k, f"Home | About\nBody of page {k}\n\nFooter {k % 2}", "h") for k in range(40)]
     rows += [(100 + k, "Home | About\nFooter 0", "h") for k in range(2)] + [(200 + k, f"Home | About\nother {k}", None) for k in range(12)]
     rows += [(300, None, "h"), (301, "", "h"), (302, "\n \n", "h"), (303, "Home | About\nHome | About\nx", "h"), (303, "Home | About\nHome | About\nx", "h"), (400, "Home | About\nq", "g")]
+    rows += [(500 + k, f"Menu\nown {k}", "small") for k in range(5)] + [(600, "Same\nx", "two"), (601, "Same\ny", "two")]
     df = documents(spark, rows, "doc_id long, text string, source string").withColumn("_bad", F.lit(1)).withColumn("n", F.lit("n"))
     got = lines.drop_boilerplate(df, Workspace(spark, "t"), host=F.col("source")).collect()
     pages, seen = collections.Counter(), collections.Counter()
@@ -403,15 +388,22 @@ def test_line_dedup(spark):
     expected = []
     for d, t, h in rows:
         every = t.split("\n") if t is not None else []
-        kept = [x for x in every if not (WORD.search(x) and seen[h, x] >= 10 and seen[h, x] > 0.1 * pages[h])]
-        if not any(WORD.search(x) for x in kept):
-            kept = every
+        kept = [x for x in every if not (WORD.search(x) and seen[h, x] >= lines.AT_LEAST and seen[h, x] > 0.1 * pages[h])]
         expected.append((d, "\n".join(kept) if t is not None else None, len(every), len(every) - len(kept)))
     assert collections.Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == collections.Counter(expected)
     assert sum(r.n_dropped for r in got) > 90
+    assert {(r.doc_id, r.text) for r in got if 100 <= r.doc_id < 102} == {(100, ""), (101, "")}  # boilerplate only
+    assert {r.text for r in got if r.source == "small"} == {f"own {k}" for k in range(5)}  # few pages
+    assert [r.text for r in got if r.source == "two"] == ["Same\nx", "Same\ny"]  # two pages are chance
     assert lines.drop_boilerplate(df.limit(0), Workspace(spark, "t"), host=F.col("source")).count() == 0
 
 
+def test_url_host(spark):
+    urls = ["http://A.b.example:80/x?y#z", "https://user:pw@c.example", "HTTPS://d.example?q", "no url", "", None]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(lines.url_host(F.col("url")).alias("h")).collect()
+    assert [r.h for r in got] == ["a.b.example", "c.example", "d.example", None, None, None]
+
+
 # --- token files ------------------------------------------------------------
 
 

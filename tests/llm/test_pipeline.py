@@ -41,29 +41,17 @@ def test_classifier_stage(spark, docs):
 
 def test_line_stage(spark, docs):
     got = corpus_pipeline.drop_site_boilerplate(spark, docs, SF)
-    assert got.columns == docs.columns and got.count() == docs.count()
-    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in got.collect())
-
-
-def test_near_dedup_stage(spark, docs):
-    got = corpus_pipeline.keep_one_of_similar(spark, docs, SF)
-    named = [r for r in docs.collect() if r.doc_id is not None]
-    prints = np.stack([np.frombuffer(simhash.wide_fingerprint((r.text or "").encode(), words=5), "<u8") for r in named])
-    parent = list(range(len(named)))
-
-    def find(k):
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    for i in range(len(named)):
-        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]).sum(1) <= 51).tolist():
-            parent[find(i)] = find(j)
-    least = {}
-    for k, r in enumerate(named):
-        least[find(k)] = min(least.get(find(k), r.doc_id), r.doc_id)
-    kept = [r.doc_id for r in got.collect()]
-    assert sorted(x for x in kept if x is not None) == sorted(least.values()) and kept.count(None) == 1
+    raw = docs.collect()
+    pages, seen = collections.Counter(r.source for r in raw), collections.Counter()
+    split = [r.text.split("\n") if r.text is not None else [] for r in raw]
+    for r, every in zip(raw, split):
+        seen.update({(r.source, x) for x in every if x.encode().split()})
+    expected = collections.Counter()
+    for r, every in zip(raw, split):
+        kept = [x for x in every if not (x.encode().split() and seen[r.source, x] >= lines.AT_LEAST and seen[r.source, x] > lines.RATIO * pages[r.source])]
+        text = "\n".join(kept if any(x.encode().split() for x in kept) else every) if r.text is not None else None
+        expected[r.doc_id, text, r.lang, r.source, len(text) if text is not None else None] += 1
+    assert got.columns == docs.columns and rows(got) == expected
 
 
 def test_mixing_and_tokens_stages(spark, docs):
@@ -103,7 +91,7 @@ def test_queries_return_every_row(spark, name):
 
 
 def test_lines_ratio_is_documented():
-    assert 0 < lines.RATIO < 1 and lines.MIN_PAGES > 1
+    assert 0 < lines.RATIO < 1 and lines.AT_LEAST > 1
 
 
 @pytest.mark.parametrize("name", ["op5_source_mix", "op7_line_dedup", "op2_chat_format"])
