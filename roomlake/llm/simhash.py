@@ -19,17 +19,8 @@ pairs are not enumerated: each member is linked to its *midpoints*, the values
 one free bit away. Two members share a midpoint exactly if they differ by two
 bits or fewer, so the graph has the same components with linearly many edges.
 
-Similarity of 0.8 (:func:`similar_documents`)
-----------------------------------------------
-The bits of fingerprints say too little of a Jaccard similarity of 0.8: they
-accept pairs below it and lose pairs above it. The sets of five-word shingles are
-compared themselves there, as 64-bit hashes. Two sets that are similar enough
-share one of the first shingles of each, in any order of shingles that all sets
-keep to; rows meet by these, with the shingles of crowded places last. No
-similar pair can be missed, and each pair that meets is verified by both sets. Of
-a place with more than ``PAIRS_UP_TO`` members each is compared to the first; where
-that leaves members apart, all pairs of them are compared, block by block. That
-is quadratic for a large group of texts that are alike but not similar enough.
+For word shingles at a similarity of 0.8 the bits say too little; see
+:mod:`roomlake.llm.similar`.
 
 Defined cases
 -------------
@@ -42,9 +33,7 @@ other columns           of the input are ignored
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from fractions import Fraction
 from functools import cache
 from itertools import combinations
 
@@ -239,156 +228,3 @@ def near_duplicates(docs: DataFrame, space: Workspace, *, words: int = 5, id_col
     rooted = components(dealt, space)
     classes = smallest_of_roots(distinct.join(rooted, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), space)
     return marked.join(classes, "fp").select(id_column, "fp", "component_id")
-
-
-#: Shingles of crowded places that go last in the order of prefixes, at most; any set of them gives the same pairs.
-LATE_UP_TO = 100_000
-#: Shingles that a block of a crowded group has on average, at most.
-BLOCK_SHINGLES = 1 << 19
-ODD_BITS = 512
-
-
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The different 64-bit hashes of the word shingles, sorted as signed longs."""
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(x, SEED) for parts in shingles(text, words) for x in parts), np.uint64).view(np.int64))
-
-
-def shingle_sets(docs: DataFrame, *, words: int, text: str = "text", keep: tuple[str, ...]) -> DataFrame:
-    """The ``keep`` columns, ``fp`` (64-bit digest of the set), ``n``, ``odd`` and ``shingles``.
-
-    A bit of ``odd`` says whether an odd number of shingles has its place as the
-    lowest bits; of two sets no more of these differ than elements do.
-    """
-
-    def of(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", words) for t in batch.column("_text")]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-            odd = [np.packbits(np.bincount(s & ODD_BITS - 1, minlength=ODD_BITS) & 1).view("<i8") for s in sets]
-            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (ODD_BITS // 64)), pa.array(np.concatenate([*odd, np.zeros(0, np.int64)])))
-            out = [pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64()), pa.array(np.diff(ends), pa.int32()), odd, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, "fp", "n", "odd", "shingles"])
-
-    source = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(releasing(of), ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", fp bigint, n int, odd array<bigint>, shingles array<bigint>")
-
-
-def prefix_length(n: int, part: Fraction) -> int:
-    """Of two sets whose intersection is ``part`` of their union, the first so many of n elements have one in common, in any order of elements."""
-    return n - math.ceil(part * n) + 1 if n else 0
-
-
-def prefixes(sets: DataFrame, part: Fraction, late: list[int]) -> DataFrame:
-    """shingle, fp, n, place of the shingles in each set's prefix. ``late`` ones come after all others, in the order given."""
-    order = np.argsort(np.array(late, np.int64))
-    known = np.array(late, np.int64)[order]
-
-    def of(batches):
-        for batch in batches:
-            keys, sizes, found, places = [], [], [], []
-            for fp, values in zip(batch.column("fp").to_pylist(), batch.column("shingles")):
-                own = values.values.to_numpy()
-                if len(known) and len(own):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    is_late = known[at] == own
-                    own = np.concatenate([own[~is_late], own[is_late][np.argsort(order[at[is_late]])]])
-                m = prefix_length(len(own), part)
-                keys += [fp] * m
-                sizes.append(np.full(m, len(own), np.int32))
-                found.append(own[:m])
-                places.append(np.arange(m, dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(keys, pa.int64()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["shingle", "fp", "n", "place"])
-
-    return sets.select("fp", "shingles").mapInArrow(releasing(of), "shingle bigint, fp bigint, n int, place int")
-
-
-def similar_in_blocks(first: np.ndarray, second: np.ndarray, sets: list[np.ndarray], root: list, part: Fraction) -> list[tuple[int, int]]:
-    """Pairs (row of ``first``, row of ``second``) of similar sets that connect all that such pairs connect; rows of one root count as connected."""
-    _, component = np.unique(np.array(root, np.int64), return_inverse=True)
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    starts, marks, found = np.cumsum(sizes) - sizes, np.zeros(len(vocabulary), np.int64), []
-    for i in first.tolist():
-        if (component[second] == component[i]).all():
-            continue
-        own = flat[starts[i] : starts[i] + sizes[i]]
-        marks[own] = 1
-        common = np.add.reduceat(marks[flat], starts)
-        marks[own] = 0
-        similar = part.denominator * common >= part.numerator * (sizes + sizes[i] - common)
-        for j in second[similar[second] & (component[second] != component[i])].tolist():
-            if component[j] != component[i]:
-                found.append((i, j))
-                component[component == component[j]] = component[i]
-    return found
-
-
-def similar_sets(sets: DataFrame, space: Workspace, part: Fraction) -> DataFrame:
-    """Edges (a, b) that connect the sets (fp, n, odd, shingles; distinct) as all pairs do whose intersection is ``part`` of their union, at least."""
-    length = (F.col("n") - F.ceil(F.col("n") * F.lit(part.numerator) / F.lit(part.denominator) - 1e-9) + 2).cast("int")
-    # an eighth of the sets tells what is frequent; this decides about the order only, never about pairs
-    often = sets.where("n > 0 and pmod(fp, 8) = 0").select(F.explode(F.slice("shingles", F.lit(1), length)).alias("shingle")).groupBy("shingle").count().where(F.col("count") > max(1, PAIRS_UP_TO // 8))
-    late = [r.shingle for r in often.orderBy(F.desc("count"), "shingle").limit(LATE_UP_TO).collect()][::-1]
-    met = prefixes(sets, part, late).groupBy("shingle").agg(F.collect_list(F.struct("fp", "n", "place")).alias("m")).where(F.size("m") > 1)
-    met = space.save(met.select("m"), "set-places")
-
-    alike = lambda a, b: (F.least(a, b) * part.denominator >= F.greatest(a, b) * part.numerator)
-    few = met.where(F.size("m") <= PAIRS_UP_TO)
-    pairs = few.select(F.posexplode("m").alias("k", "x"), "m").select("x", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("y")).where(alike(F.col("x.n"), F.col("y.n")))
-    # before the shingle they have so many in common at most as the shorter part has, and from it on likewise
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
-    pairs = pairs.where(rest * (part.numerator + part.denominator) >= (F.col("x.n") + F.col("y.n")) * part.numerator).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-    crowded = met.where(F.size("m") > PAIRS_UP_TO).select(F.array_min("m").alias("first"), F.explode("m").alias("x"))
-    crowded = space.save(crowded.select(F.col("first.fp").alias("a"), F.col("first.n").alias("a_n"), F.col("x.fp").alias("b"), F.col("x.n").alias("n")).distinct(), "crowded")
-    stars = crowded.where("a <> b").where(alike(F.col("a_n"), F.col("n"))).select("a", "b")
-
-    odd = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
-    apart = F.aggregate(F.zip_with("a_odd", "b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    possible = apart * (part.numerator + part.denominator) <= (F.col("a_n") + F.col("b_n")) * (part.denominator - part.numerator)
-    asked = space.save(pairs.unionByName(stars).distinct().join(odd("a"), "a").join(odd("b"), "b").where(possible).select("a", "b"), "asked")
-    own = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    checked = asked.join(own("a"), "a").join(own("b"), "b").withColumn("common", common)
-    sure = space.save(checked.where(F.col("common") * part.denominator >= (F.col("a_n") + F.col("b_n") - F.col("common")) * part.numerator).select("a", "b"), "sure")
-    if crowded.isEmpty():
-        return sure
-
-    # members of crowded places that their leader does not connect: all pairs of these groups, in blocks
-    rooted = space.save(connected_components(sure, space), "rooted")
-    grouped = crowded.select(F.col("a").alias("leader"), F.col("b").alias("fp"), "n").join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    grouped = space.save(grouped, "grouped")
-    divided = grouped.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).where("low < high")
-    divided = divided.select("leader", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    member = grouped.join(divided, "leader").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    member = member.select("leader", "fp", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    member = member.select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "root").join(sets.select("fp", "shingles"), "fp")
-
-    def kernel(group):
-        block, low, high = group.column("block").to_numpy(), group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        fp = group.column("fp").to_pylist()
-        values = [x.values.to_numpy() for x in group.column("shingles")]
-        found = similar_in_blocks(np.flatnonzero(block == low), np.flatnonzero(block == high), values, group.column("root").to_pylist(), part)
-        return pa.table({"a": pa.array([min(fp[i], fp[j]) for i, j in found], pa.int64()), "b": pa.array([max(fp[i], fp[j]) for i, j in found], pa.int64())})
-
-    more = member.groupBy("leader", "low", "high").applyInArrow(kernel, "a bigint, b bigint")
-    stars = rooted.where("fp <> root").select(F.col("root").alias("a"), F.col("fp").alias("b"))
-    return space.save(stars.unionByName(more).distinct(), "set-links")
-
-
-def similar_documents(docs: DataFrame, space: Workspace, *, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, component_id of documents whose shingle sets have a Jaccard similarity of ``similarity`` at least, directly or through others.
-
-    Exact but for equal 64-bit hashes of different shingles or of different sets.
-    """
-    marked = space.save(shingle_sets(docs, words=words, text=text, keep=(id_column,)), "sets")
-    distinct = space.save(marked.groupBy("fp").agg(F.min(id_column).alias("first_id"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("shingles").alias("shingles")), "distinct-sets")
-    ids = space.save(marked.select(id_column, "fp"), "ids")
-    space.drop("sets")
-    rooted = connected_components(similar_sets(distinct.select("fp", "n", "odd", "shingles"), space, Fraction(str(similarity))), space)
-    classes = smallest_of_roots(distinct.select("fp", "first_id").join(rooted, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), space)
-    out = space.save(ids.join(classes, "fp").select(id_column, "component_id"), "similar")
-    space.drop("ids", "distinct-sets", "set-places", "crowded", "asked", "sure", "rooted", "grouped", "set-links")
-    return out

@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from roomlake.llm import bpe, cdc, chat, crf, lines, mixing, simhash, tokenscan, warc, weak
+from roomlake.llm import bpe, cdc, chat, crf, lines, mixing, similar, simhash, tokenscan, warc, weak
 from roomlake.storage import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,9 +179,9 @@ def test_similar_documents(spark):
             edited[int(rng.integers(0, 300))] = word()
             rows.append((1000 * k + 1000 + c, " ".join(edited)))
     rows += [(1, None), (2, ""), (3, rows[0][1]), (3, rows[0][1])]
-    got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(documents(spark, rows), Workspace(spark, "t")).collect()}
+    got = {(r.doc_id, r.component_id) for r in similar.similar_documents(documents(spark, rows), Workspace(spark, "t")).collect()}
     assert got == {(d, d // 1000 * 1000 if d > 3 else {1: 1, 2: 1, 3: 3}[d]) for d, _ in rows} - {(k, 1000) for k in range(1000, 1006)} | {(k, 3) for k in range(1000, 1006)}
-    assert simhash.similar_documents(documents(spark, rows).limit(0), Workspace(spark, "t")).count() == 0
+    assert similar.similar_documents(documents(spark, rows).limit(0), Workspace(spark, "t")).count() == 0
 
 
 def test_pivots_lie_far_apart():

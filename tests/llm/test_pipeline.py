@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roomlake.llm import bpe, crf, lines, oracles, queries, simhash
+from roomlake.llm import bpe, crf, lines, oracles, queries, similar
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
@@ -100,11 +100,12 @@ def test_native_plans_run_no_python(spark, name):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 
 
-@pytest.mark.parametrize("few", [simhash.PAIRS_UP_TO, 2])
+@pytest.mark.parametrize("few", [4, 1])
 def test_near_dedup_is_by_shingle_sets(spark, docs, monkeypatch, few):
-    """With two members a place is crowded, so that leaders and blocks are gone through as well."""
-    monkeypatch.setattr(simhash, "PAIRS_UP_TO", few)
-    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1 << 12)
+    """Blocks and salts are small, so that places are divided; where a member asks for one other only, much is left to the last round."""
+    monkeypatch.setattr(similar, "NEAREST", (few, None))
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    monkeypatch.setattr(similar, "SALTS", 5)
     words = [f"w{k}" for k in range(60)]
     # 56 five-word shingles; m altered words at the end leave 56 - m of 56 + m: 6 pass at 50 / 62, 7 do not at 49 / 63
     planted = [(7000 + m, " ".join(words[: 60 - m] + [f"x{m}_{k}" for k in range(m)])) for m in (0, 6, 7)]
