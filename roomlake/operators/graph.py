@@ -1,10 +1,10 @@
 """Routes, reachability and joins over portal graphs.
 
 A graph is a table of edges (src, dst) in both directions with a key of the plan
-it belongs to. Searches go out in rounds of joins, bounded by a given depth; each
-round keeps one best row a (plan, start, node), so it never grows beyond the
-pairs that can be reached. Rounds are written to the shared folder, so that each
-is computed once, and end early when nothing new is reached.
+it belongs to. Searches go out in rounds of joins until nothing new is reached, or
+to a given depth; each round keeps one best row a (plan, start, node), so it never
+grows beyond the pairs that can be reached. Rounds are written to the shared
+folder, so that each is computed once.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ def both_ways(edges: DataFrame, keys: Sequence[str], a: str = "src", b: str = "d
     return there.unionByName(edges.select(*keys, F.col(b).alias("src"), F.col(a).alias("dst"), *rest))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], *, rounds: int) -> DataFrame:
-    """keys, start, node, hops: what can be reached from each start, itself included, by ``rounds`` edges at most."""
+def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], *, rounds: int | None = None) -> DataFrame:
+    """keys, start, node, hops: what can be reached from each start, itself included. ``rounds``: the most edges, if that is bounded."""
     space = Workspace(edges.sparkSession, "reach")
     front = space.save(starts.select(*keys, F.col("start"), F.col("start").alias("node"), F.lit(0).alias("hops")), "front-0")
     step = space.save(edges.select(*keys, F.col("src").alias("node"), F.col("dst")), "edges")
-    seen = front
-    for k in range(1, rounds + 1):
+    seen, k = front, 0
+    while k != rounds:
+        k += 1
         moved = front.join(step, [*keys, "node"]).select(*keys, "start", F.col("dst").alias("node")).distinct()
         front = space.save(moved.join(seen, [*keys, "start", "node"], "left_anti").withColumn("hops", F.lit(k)), f"front-{k}")
         if front.isEmpty():
@@ -38,24 +39,34 @@ def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], *, round
     return seen
 
 
-def best_routes(edges: DataFrame, starts: DataFrame, keys: Sequence[str], *, cost: Column, rounds: int) -> DataFrame:
+def best_routes(edges: DataFrame, starts: DataFrame, keys: Sequence[str], *, cost: Column, rounds: int | None = None) -> DataFrame:
     """keys, start, node, cost, path: the cheapest path of each pair; of equal ones the first in the order of its nodes.
 
-    Bellman-Ford in rounds: costs are rounded to nine digits, so that equal costs are equal.
+    Bellman-Ford in rounds, of which each goes on from what the last one improved, until
+    nothing improves. Costs are rounded to nine digits, so that equal costs are equal.
     """
     space = Workspace(edges.sparkSession, "routes")
-    best = space.save(starts.select(*keys, "start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("path")), "best-0")
+    pair = [*keys, "start", "node"]
+    first = starts.select(*keys, "start", F.col("start").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.array("start").alias("path")).alias("b"))
+    best = front = space.save(first, "best-0")
     step = space.save(edges.select(*keys, F.col("src").alias("node"), F.col("dst"), cost.alias("step")), "edges")
-    for k in range(1, rounds + 1):
-        moved = best.join(step, [*keys, "node"]).where(~F.array_contains("path", F.col("dst")))
-        longer = moved.select(*keys, "start", F.col("dst").alias("node"), F.round(F.col("cost") + F.col("step"), 9).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        least = best.unionByName(longer).groupBy(*keys, "start", "node").agg(F.min(F.struct("cost", "path")).alias("b"))
-        best = space.save(least.select(*keys, "start", "node", F.col("b.cost").alias("cost"), F.col("b.path").alias("path")), f"best-{k}")
+    k = 0
+    while k != rounds:
+        k += 1
+        moved = front.join(step, [*keys, "node"]).where(~F.array_contains("b.path", F.col("dst")))
+        longer = moved.select(*keys, "start", F.col("dst").alias("node"), F.struct(F.round(F.col("b.cost") + F.col("step"), 9).alias("cost"), F.concat("b.path", F.array("dst")).alias("path")).alias("b"))
+        offered = longer.groupBy(*pair).agg(F.min("b").alias("new"))
+        merged = best.join(offered, pair, "full")
+        better = F.col("new").isNotNull() & (F.col("b").isNull() | (F.col("new") < F.col("b")))
+        both = space.save(merged.select(*pair, F.when(better, F.col("new")).otherwise(F.col("b")).alias("b"), better.alias("improved")), f"best-{k}")
+        best, front = both.drop("improved"), both.where("improved").drop("improved")
+        if front.isEmpty():
+            break
         space.drop(f"best-{k - 1}")
-    return best
+    return best.select(*pair, F.col("b.cost").alias("cost"), F.col("b.path").alias("path"))
 
 
-def hop_routes(edges: DataFrame, starts: DataFrame, keys: Sequence[str], *, rounds: int) -> DataFrame:
+def hop_routes(edges: DataFrame, starts: DataFrame, keys: Sequence[str], *, rounds: int | None = None) -> DataFrame:
     """Routes of the fewest edges: keys, start, node, hops, path."""
     found = best_routes(edges, starts, keys, cost=F.lit(1.0), rounds=rounds)
     return found.select(*keys, "start", "node", F.col("cost").cast("int").alias("hops"), "path")
@@ -66,7 +77,7 @@ def portal_cost(width: Column) -> Column:
     return 1 + 0.05 / F.greatest(F.coalesce(width, F.lit(0.8)), F.lit(0.1))
 
 
-def connected(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, rounds: int) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, rounds: int | None = None) -> DataFrame:
     """keys, n_nodes, connected: whether a plan's first node reaches all its nodes. A plan without nodes has no row."""
     first = nodes.groupBy(*keys).agg(F.min("node").alias("start"), F.countDistinct("node").alias("n_nodes"))
     got = reachable(edges, first, keys, rounds=rounds).groupBy(*keys).agg(F.countDistinct("node").alias("reached"))

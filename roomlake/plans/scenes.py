@@ -24,31 +24,31 @@ def _starts(edges):
 
 
 WALK = """walk AS (SELECT plan, min(src) AS start, min(src) AS node, 0 AS hops, [min(src)] AS path, 0.0::DOUBLE AS cost FROM edges GROUP BY plan
-UNION ALL SELECT w.plan, w.start, e.dst, w.hops + 1, list_append(w.path, e.dst), round(w.cost + {cost}, 9) FROM walk w JOIN edges e ON e.plan = w.plan AND e.src = w.node WHERE w.hops < {rounds} AND NOT list_contains(w.path, e.dst))"""
+UNION ALL SELECT w.plan, w.start, e.dst, w.hops + 1, list_append(w.path, e.dst), round(w.cost + {cost}, 9) FROM walk w JOIN edges e ON e.plan = w.plan AND e.src = w.node WHERE NOT list_contains(w.path, e.dst))"""
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1', rounds=5)} SELECT plan, start, node, min(hops)::INT AS hops FROM walk GROUP BY ALL")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1')} SELECT plan, start, node, min(hops)::INT AS hops FROM walk GROUP BY ALL")
 def reachable_closure(read):
     edges = _edges(read)
-    return graph.reachable(edges, _starts(edges), ["plan"], rounds=5)
+    return graph.reachable(edges, _starts(edges), ["plan"])
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1', rounds=4)} SELECT plan, start, node, min(hops)::INT AS hops, array_to_string(arg_min(path, (hops, path)), '>') AS path FROM walk GROUP BY ALL")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1')} SELECT plan, start, node, min(hops)::INT AS hops, array_to_string(arg_min(path, (hops, path)), '>') AS path FROM walk GROUP BY ALL")
 def route_path(read):
     edges = _edges(read)
-    return graph.hop_routes(edges, _starts(edges), ["plan"], rounds=4).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+    return graph.hop_routes(edges, _starts(edges), ["plan"]).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1 + 0.05 / greatest(e.width, 0.1)', rounds=4)} SELECT plan, start, node, round(min(cost), 6) AS cost, array_to_string(arg_min(path, (cost, path)), '>') AS path FROM walk GROUP BY ALL")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1 + 0.05 / greatest(e.width, 0.1)')} SELECT plan, start, node, round(min(cost), 6) AS cost, array_to_string(arg_min(path, (cost, path)), '>') AS path FROM walk GROUP BY ALL")
 def route_dijkstra(read):
     edges = _edges(read)
-    return rounded(graph.best_routes(edges, _starts(edges), ["plan"], cost=graph.portal_cost(F.col("width")), rounds=4).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">")))
+    return rounded(graph.best_routes(edges, _starts(edges), ["plan"], cost=graph.portal_cost(F.col("width"))).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">")))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1', rounds=5)}, n AS (SELECT plan, count(DISTINCT src) AS n_nodes FROM edges GROUP BY plan), r AS (SELECT plan, count(DISTINCT node) AS reached FROM walk GROUP BY plan) SELECT plan, n_nodes, n_nodes = reached AS connected FROM n JOIN r USING (plan)")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {WALK.format(cost='1')}, n AS (SELECT plan, count(DISTINCT src) AS n_nodes FROM edges GROUP BY plan), r AS (SELECT plan, count(DISTINCT node) AS reached FROM walk GROUP BY plan) SELECT plan, n_nodes, n_nodes = reached AS connected FROM n JOIN r USING (plan)")
 def plan_connected(read):
     edges = _edges(read)
-    return graph.connected(edges, edges.select("plan", F.col("src").alias("node")), ["plan"], rounds=5)
+    return graph.connected(edges, edges.select("plan", F.col("src").alias("node")), ["plan"])
 
 
 @query("""WITH inner_ AS (SELECT n_regionkey AS plan, n_nationkey AS room, m.n_nationkey AS target, m.n_name AS target_type, 'portal' AS kind, false AS outdoor FROM nation n JOIN nation m USING (n_regionkey) WHERE m.n_nationkey > n.n_nationkey),
