@@ -1,7 +1,7 @@
 """Grouped metrics of study rows.
 
-All are partial aggregates but for the exact percentiles, which keep a count for
-each distinct value; nulls are skipped as SQL does.
+All are partial aggregates; exact percentiles come from counts of values that are
+divided into ranges (:mod:`roomlake.operators.ranking`). Nulls are skipped as SQL does.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomlake.operators.ranking import join_on, percentiles, with_place
+from roomlake.storage import Workspace
+
 #: What a configuration must reach: median and 90th percentile of the error, share of right rooms.
 MEDIAN_AT_MOST, P90_AT_MOST, ACCURACY_AT_LEAST = 1.0, 2.0, 0.85
 
@@ -21,18 +24,19 @@ def share(flag: Column) -> Column:
 
 def group_metrics(rows: DataFrame, keys: Sequence[str], *, plan: str, error: str, correct: Column, local: Column, extra: Sequence[Column] = ()) -> DataFrame:
     """plans, cases, median and p90 of ``error``, accuracy, and the same over rows that aren't ``local`` (null if none)."""
-    cross = ~local
-    return rows.groupBy(*keys).agg(
+    cross, e = ~local, F.col(error)
+    apart = F.when(cross, e)
+    summed = rows.groupBy(*keys).agg(
         F.countDistinct(plan).alias("plans"),
         F.count("*").alias("cases"),
-        F.median(error).alias("median_error"),
-        F.percentile(error, 0.9).alias("p90_error"),
         share(correct).alias("accuracy"),
         F.count_if(cross).alias("cross_cases"),
-        F.median(F.when(cross, F.col(error))).alias("cross_median"),
         F.avg(F.when(cross, correct.cast("double"))).alias("cross_accuracy"),
         *extra,
     )
+    found = percentiles(rows, keys, {"median_error": (e, 0.5), "p90_error": (e, 0.9), "cross_median": (apart, 0.5)})
+    others = [c for c in summed.columns if c not in (*keys, "plans", "cases", "accuracy", "cross_cases", "cross_accuracy")]
+    return join_on(summed, found, keys, "left").select(*keys, "plans", "cases", "median_error", "p90_error", "accuracy", "cross_cases", "cross_median", "cross_accuracy", *others)
 
 
 def single_or_null(column: str) -> Column:
@@ -41,32 +45,33 @@ def single_or_null(column: str) -> Column:
 
 
 def population_summary(profiles: DataFrame, key: str, *, area: str, connected: Column, valid: Column) -> DataFrame:
-    both = connected & valid
-    q = F.percentile(area, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return (
-        profiles.groupBy(key)
-        .agg(F.count("*").alias("plans"), F.count_if(connected).alias("connected"), F.count_if(valid).alias("valid"), F.count_if(both).alias("eligible"), share(both).alias("eligible_rate"), F.min(area).alias("area_min"), q.alias("q"), F.max(area).alias("area_max"))
-        .select(key, "plans", "connected", "valid", "eligible", "eligible_rate", "area_min", F.col("q")[0].alias("area_p10"), F.col("q")[1].alias("area_median"), F.col("q")[2].alias("area_p90"), "area_max")
-    )
+    both, a = connected & valid, F.col(area)
+    summed = profiles.groupBy(key).agg(F.count("*").alias("plans"), F.count_if(connected).alias("connected"), F.count_if(valid).alias("valid"), F.count_if(both).alias("eligible"), share(both).alias("eligible_rate"), F.min(area).alias("area_min"), F.max(area).alias("area_max"))
+    found = percentiles(profiles, [key], {"area_p10": (a, 0.1), "area_median": (a, 0.5), "area_p90": (a, 0.9)})
+    return join_on(summed, found, [key], "left").select(key, "plans", "connected", "valid", "eligible", "eligible_rate", "area_min", "area_p10", "area_median", "area_p90", "area_max")
 
 
 def metric_means(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], flag: Column) -> DataFrame:
     """cases, share of ``flag``, mean and median of each metric over the rows that have it."""
-    each = [f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("median", F.median))]
-    return rows.groupBy(*keys).agg(F.count("*").alias("cases"), share(flag).alias("flag_share"), *each)
+    means = rows.groupBy(*keys).agg(F.count("*").alias("cases"), share(flag).alias("flag_share"), *[F.avg(m).alias(f"mean_{m}") for m in metrics])
+    return join_on(means, percentiles(rows, keys, {f"median_{m}": (F.col(m), 0.5) for m in metrics}), keys, "left")
 
 
 def metrics_all_and_by(rows: DataFrame, key: str, *, error: str, correct: Column) -> DataFrame:
     """One pass over the rows for the whole and for each value of ``key``; the whole is named "all"."""
     kept = rows.select(F.col(key).alias("k"), F.col(error).alias("e"), correct.cast("double").alias("c"))
-    sets = kept.groupingSets([["k"], []], "k").agg(F.grouping_id().alias("g"), F.count("*").alias("cases"), F.avg("c").alias("accuracy"), F.avg("e").alias("mean_error"), F.median("e").alias("median_error"), F.percentile("e", 0.9).alias("p90_error"))
-    return sets.select(F.when(F.col("g") == 1, "all").otherwise(F.col("k").cast("string")).alias("grouping"), "cases", "accuracy", "mean_error", "median_error", "p90_error")
+    none = F.lit(None).cast(kept.schema["k"].dataType)
+    both = kept.select(F.inline(F.array(F.struct(F.lit(True).alias("whole"), none.alias("of")), F.struct(F.lit(False).alias("whole"), F.col("k").alias("of")))), "e", "c")
+    summed = both.groupBy("whole", "of").agg(F.count("*").alias("cases"), F.avg("c").alias("accuracy"), F.avg("e").alias("mean_error"))
+    e = F.col("e")
+    found = join_on(summed, percentiles(both, ["whole", "of"], {"median_error": (e, 0.5), "p90_error": (e, 0.9)}), ["whole", "of"], "left")
+    return found.select(F.when(F.col("whole"), "all").otherwise(F.col("of").cast("string")).alias("grouping"), "cases", "accuracy", "mean_error", "median_error", "p90_error")
 
 
 def positive_share(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], improved: str) -> DataFrame:
     """cases, share of rows with a positive ``improved``, mean and 10th percentile of each metric."""
-    each = [c for m in metrics for c in (F.avg(m).alias(f"mean_{m}"), F.percentile(m, 0.1).alias(f"p10_{m}"))]
-    return rows.groupBy(*keys).agg(F.count("*").alias("cases"), share(F.col(improved) > 0).alias("positive_share"), *each)
+    means = rows.groupBy(*keys).agg(F.count("*").alias("cases"), share(F.col(improved) > 0).alias("positive_share"), *[F.avg(m).alias(f"mean_{m}") for m in metrics])
+    return join_on(means, percentiles(rows, keys, {f"p10_{m}": (F.col(m), 0.1) for m in metrics}), keys, "left")
 
 
 def paired_comparison(rows: DataFrame, keys: Sequence[str], *, strategy: str, baseline: str, metrics: Sequence[str]) -> DataFrame:
@@ -89,8 +94,8 @@ def bootstrap_cluster_ci(rows: DataFrame, group: Sequence[str], *, cluster: str,
     gives the same draws.
     """
     sums = rows.groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    w = Window.partitionBy(*group)
-    ranked = sums.withColumn("rank", F.row_number().over(w.orderBy(cluster)) - 1).withColumn("clusters", F.count("*").over(w))
+    ranked = with_place(sums, group, value=cluster, index=cluster, place="rank", count="clusters")
+    ranked = Workspace(rows.sparkSession, "bootstrap").save(ranked, "clusters")
     draws = ranked.select(*group, "clusters", F.col("rank").alias("draw")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     seed = F.col("replicate").cast("long") * 1000003 + F.col("draw").cast("long")
     draws = draws.withColumn("rank", F.pmod(F.pmod(seed * multiplier, F.lit(modulus).cast("long")), F.col("clusters")).cast("int"))

@@ -35,8 +35,8 @@ def equal_count_sample(rows: DataFrame, keys: Sequence[str], *, area: str, index
 
 
 def tertiles(rows: DataFrame, keys: Sequence[str], area: str) -> DataFrame:
-    q = F.percentile(area, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return rows.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("q33"), F.col("q")[1].alias("q67"))
+    a = F.col(area)
+    return ranking.percentiles(rows, keys, {"q33": (a, 1 / 3), "q67": (a, 2 / 3)})
 
 
 def relative_bin(area: Column, q33: Column, q67: Column) -> Column:

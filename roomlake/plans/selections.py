@@ -125,20 +125,21 @@ def topk_quota_per_order(read):
     return top.select("l_linenumber", "l_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings q, embeddings b WHERE q.vec_id < 10),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, base_id) AS rank FROM s) WHERE rank <= 4),
 w AS (SELECT *, 1 / greatest(acos(greatest(-1, least(1, cosine))), 1e-6) AS w FROM t)
 SELECT query_id, base_id, round(cosine, 6) AS cosine, rank, round(w / sum(w) OVER (PARTITION BY query_id), 6) AS weight FROM w""")
 def nearest_neighbors_k4(read):
     base = read("embeddings")
-    top = selection.nearest_by_angle(base.where("vec_id < 10"), base, query_id="vec_id", base_id="vec_id", vector="embedding", k=4)
+    top = selection.nearest_by_angle(base.where("vec_id % 20 = 0"), base, query_id="vec_id", base_id="vec_id", vector="embedding", k=4)
     return rounded(top.withColumn("rank", F.col("rank").cast("long")))
 
 
-@query("""WITH n AS (SELECT vec_id AS node_id, embedding AS v FROM embeddings WHERE vec_id < 8),
-d AS (SELECT label, vec_id, min(round(sqrt(list_sum(list_transform(generate_series(1, len(embedding)), lambda i: (embedding[i]::DOUBLE - v[i]::DOUBLE) ** 2))), 9)) AS clearance FROM embeddings, n GROUP BY label, vec_id)
+@query("""WITH u AS (SELECT label, embedding[i]::DOUBLE AS x, i FROM embeddings, range(1, 65) t(i) WHERE i <= len(embedding)),
+n AS (SELECT label AS node_id, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM u GROUP BY label, i) GROUP BY label),
+d AS (SELECT e.label, vec_id, min(round(sqrt(list_sum(list_transform(generate_series(1, len(embedding)), lambda i: (embedding[i]::DOUBLE - v[i]) ** 2))), 9)) AS clearance FROM embeddings e, n GROUP BY e.label, vec_id)
 SELECT label, vec_id, round(clearance, 6) AS clearance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY clearance DESC, vec_id) AS r FROM d) WHERE r = 1""")
 def maximin_point(read):
     base = read("embeddings")
-    nodes = base.where("vec_id < 8").select(F.col("embedding").alias("node"))
+    nodes = selection.centroids(base, ["label"], "embedding").select(F.col("embedding").alias("node"))
     return rounded(selection.maximin(base, nodes, group="label", point_id="vec_id", vector="embedding", node_vector="node"))
