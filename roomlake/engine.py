@@ -97,8 +97,7 @@ class Scene:
                     band, at = np.nonzero(found)
                     yield pd.DataFrame({"job_id": r.job_id, "band": band.astype(np.int32), "bin": at.astype(np.int32), "energy": found[band, at]})
 
-        parts = jobs.withColumn("first_ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1), F.lit(solve.RAYS_A_TASK)))).repartition("job_id", "first_ray")
-        return parts.mapInPandas(run, "job_id long, band int, bin int, energy double").groupBy("job_id", "band", "bin").agg(F.sum("energy").alias("energy"))
+        return solve.dealt(jobs, rays).mapInPandas(run, "job_id long, band int, bin int, energy double").groupBy("job_id", "band", "bin").agg(F.sum("energy").alias("energy"))
 
     def run_batch(self, pairs, *, seed: int = 0, quality: str = "preview", fs: int = 16000, seconds: float = 1.0) -> DataFrame:
         """job_id, rir of each pair."""

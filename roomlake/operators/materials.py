@@ -6,14 +6,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomlake.functions.text import normalized
 from roomlake.operators import sampling
 
-CLASSES = ("low", "medium", "high", "very_high")
+#: Classes of absorption in their order, and the words that stand for them or for any.
+CLASSES = ("reflective", "semi_reflective", "absorptive", "highly_absorptive")
+CLASS_WORDS = {"": "auto", "auto": "auto", "random": "auto", "reflective": "reflective", "low": "reflective", "semi_reflective": "semi_reflective", "semi": "semi_reflective", "medium_low": "semi_reflective", "absorptive": "absorptive", "medium": "absorptive", "high": "highly_absorptive", "highly_absorptive": "highly_absorptive"}
+#: Families that everyday words stand for.
+FAMILY_WORDS = {"wood": "wood_panel", "glass": "glass_reflective", "metal": "metal_reflective", "plastic": "plastic_vinyl_reflective", "fabric": "fabric_textile_absorber", "carpet": "carpet_floor_absorber"}
+#: What surfaces let through (dB) from 125 Hz to 4 kHz, and the surfaces of a room with their meanings.
+LOSSES = {"wall": (38, 42, 46, 50, 52, 54), "floor": (42, 46, 50, 54, 56, 58), "ceiling": (35, 39, 43, 47, 49, 51), "window": (22, 25, 28, 31, 33, 35), "window_glass": (22, 25, 28, 31, 33, 35), "door": (20, 23, 26, 29, 31, 33), "curtain": (6, 8, 10, 12, 14, 16), "curtain_blind": (6, 8, 10, 12, 14, 16)}
+LOSS_OTHER = (30, 33, 36, 39, 41, 43)
 #: Where the classes of mean absorption at 500 Hz to 2 kHz begin.
 CLASS_FROM = (0.10, 0.30, 0.60)
 SURFACE = "surface_absorption_coefficient"
@@ -85,3 +93,89 @@ def draw(requests: DataFrame, mappings: DataFrame, stock: DataFrame, tags: Mappi
     first = met.withColumn("_r", F.row_number().over(order)).where("_r = 1")
     changed = ~F.col("_auto") & (F.col("level") != F.col("asked"))
     return first.select("request_id", "semantic", "asked", "family", "level", "material_idx", F.when(changed, F.col("asked")).alias("fallback_from"), F.when(F.col("material_idx").isNull(), fallback_absorption(F.col("semantic"))).alias("fallback_alpha"))
+
+
+def _word(table: Mapping[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def absorption_word(level: Column, *, strict: bool = True) -> Column:
+    """The class that a word stands for, "auto" for null; an unknown word is an error, or null unless ``strict``."""
+    found = F.when(level.isNull(), "auto").otherwise(_word(CLASS_WORDS, normalized(level)))
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown absorption class: "), level)).cast("string")).otherwise(found) if strict else found
+
+
+def family_word(name: Column) -> Column:
+    """The family that an everyday word stands for, else the word itself."""
+    return F.coalesce(_word(FAMILY_WORDS, normalized(name)), normalized(name))
+
+
+def transmission_loss(semantic: Column) -> Column:
+    """Decibels by band that a surface of a meaning holds back, where no material says so."""
+    bands = lambda row: F.array(*[F.lit(float(v)) for v in row])
+    table = F.create_map(*[x for k, row in LOSSES.items() for x in (F.lit(k), bands(row))])
+    return F.coalesce(F.try_element_at(table, F.lower(semantic)), bands(LOSS_OTHER))
+
+
+def terms_of(semantic: Column, canonical_name: Column, vocabulary: Column, aliases: Column) -> Column:
+    """All names of a meaning, in lower case and once each."""
+    own = F.concat(F.array(semantic, canonical_name, vocabulary), F.coalesce(aliases, F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(F.transform(own, lambda t: F.lower(t)), lambda t: t.isNotNull() & (t != "")))
+
+
+def candidates(stock: DataFrame, wishes: DataFrame, names: Sequence[str], aliases: str) -> DataFrame:
+    """request_id, material_idx of the materials that have one of a wish's ``terms`` as a name. Terms meet names in a join, so each is looked up once."""
+    own = F.concat(F.array(*[F.lower(F.col(n)) for n in names]), F.transform(F.coalesce(F.col(aliases), F.array().cast("array<string>")), lambda t: F.lower(t)))
+    named = stock.select("material_idx", F.explode(F.array_distinct(own)).alias("term")).where("term is not null")
+    return wishes.select("request_id", F.explode("terms").alias("term")).join(named, "term").select("request_id", "material_idx").distinct()
+
+
+def draw_family(requests: DataFrame, stock: DataFrame, *, seed: int) -> DataFrame:
+    """A material of each request's family (request_id, family, asked): of the class asked for, else of the nearest that the family has; on "auto" of any."""
+    rows = surface_rows(stock).select("family", "level", "material_idx")
+    of_class = sampling.weighted_draw(rows, ["family", "level"], weight=F.lit(1.0), index="material_idx", seed=seed)
+    of_any = sampling.weighted_draw(rows, ["family"], weight=F.lit(1.0), index="material_idx", seed=seed).select("family", F.lit("auto").alias("level"), "material_idx", F.col("level").alias("of"))
+    drawn = of_class.withColumn("of", F.col("level")).unionByName(of_any)
+    place = lambda c: F.array_position(F.array(*[F.lit(x) for x in CLASSES]), c)
+    met = requests.join(drawn, "family", "left").where((F.col("asked") == "auto") == F.coalesce(F.col("level") == "auto", F.col("asked") == "auto"))
+    best = F.min(F.struct(F.abs(place(F.col("level")) - place(F.col("asked"))).alias("d"), place(F.col("level")).alias("k"), "of", "material_idx"))
+    got = met.groupBy("request_id").agg(best.alias("b"))
+    return requests.join(got, "request_id", "left").select("request_id", "family", "asked", F.col("b.of").alias("level"), F.col("b.material_idx").alias("material_idx"))
+
+
+def resolve(requests: DataFrame, mappings: DataFrame, stock: DataFrame, tags: Mapping[str, list[str]], aliases: Mapping[str, str], *, seed: int) -> DataFrame:
+    """The material of each request, by the first way that gives one.
+
+    ``requests``: request_id, material_id, spec, semantic (what it is for). A named
+    material serves as it is. A spec that is a class of absorption, or none, asks
+    for the semantic; any other spec names a material, a meaning or a family. What
+    nothing serves gets its fallback absorption. ``stock`` has material_id besides.
+    """
+    known = stock.groupBy("material_id").agg(F.min("material_idx").alias("exact"))
+    level = absorption_word(F.col("spec"), strict=False)
+    name = F.coalesce("material_id", F.when(level.isNull(), F.col("spec")))
+    asked = requests.select("request_id", name.alias("material_id"), F.coalesce(level, F.lit("auto")).alias("asked"), canonical(F.coalesce(name, F.col("semantic")), aliases).alias("semantic"))
+    asked = asked.join(known, "material_id", "left")
+    meanings = mappings.select("semantic", F.lit(True).alias("_means")).distinct()
+    families = surface_rows(stock).select("family", F.lit(True).alias("_has")).distinct()
+    asked = asked.withColumn("family", family_word(F.coalesce("material_id", F.col("semantic")))).join(meanings, "semantic", "left").join(families, "family", "left")
+    drawn = draw(asked.where("exact is null and _means").select("request_id", "semantic", "asked"), mappings, stock, tags, seed=seed)
+    by_family = draw_family(asked.where("exact is null and _means is null and _has").select("request_id", "family", "asked"), stock, seed=seed)
+    out = asked.join(drawn.select("request_id", F.col("material_idx").alias("drawn"), "fallback_from"), "request_id", "left").join(by_family.select("request_id", F.col("material_idx").alias("of_family")), "request_id", "left")
+    index = F.coalesce("exact", "drawn", "of_family")
+    how = F.when(F.col("exact").isNotNull(), "named").when(F.col("drawn").isNotNull(), "semantic").when(F.col("of_family").isNotNull(), "family").otherwise("fallback")
+    return out.select("request_id", "semantic", "asked", index.alias("material_idx"), how.alias("how"), "fallback_from", F.when(index.isNull(), fallback_absorption(F.col("semantic"))).alias("fallback_alpha"), transmission_loss(F.col("semantic")).alias("loss_db"))
+
+
+def surface_requests(rooms: DataFrame, surfaces: Sequence[str]) -> DataFrame:
+    """A request for each surface of a room (room_id, level, profile: map of surface to spec, overrides: the same): overrides come first, then the profile, then the level."""
+    named = rooms.select("room_id", F.posexplode(F.array(*[F.lit(x) for x in surfaces])).alias("place", "semantic"), "level", "profile", "overrides")
+    pick = lambda c: F.try_element_at(F.col(c), F.col("semantic"))
+    return named.select((F.col("room_id") * len(surfaces) + F.col("place")).alias("request_id"), "room_id", "semantic", F.lit(None).cast("string").alias("material_id"), F.coalesce(pick("overrides"), pick("profile"), F.col("level")).alias("spec"))
+
+
+def geometry_requests(items: DataFrame) -> DataFrame:
+    """Requests of furniture (request_id, material, material_id, semantic, type, absorption_class): a named material, else what it is."""
+    named = F.coalesce(F.nullif(F.col("material"), F.lit("")), F.nullif(F.col("material_id"), F.lit("")))
+    what = F.coalesce("semantic", "type", F.lit("structural_element"))
+    return items.select("request_id", named.alias("material_id"), F.when(named.isNull(), F.coalesce("absorption_class", F.lit("auto"))).alias("spec"), what.alias("semantic"))

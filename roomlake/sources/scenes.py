@@ -23,9 +23,12 @@ SCENE = (
 )
 
 
-def read_packed(spark: SparkSession, path: str) -> DataFrame:
-    """idx and the typed scene of a packed file (table scenes: idx, source_idx, compressed JSON)."""
-    return sqlite.read_table(spark, path, "scenes").select("idx", F.from_json(sqlite.inflate(F.col("payload")), SCENE).alias("scene")).select("idx", "scene.*")
+def read_packed(spark: SparkSession, path: str, *, idx: tuple[int, int] | None = None) -> DataFrame:
+    """idx and the typed scene of a packed file (table scenes: idx, source_idx, compressed JSON).
+
+    With a first and a last ``idx`` only these rows leave the file.
+    """
+    return sqlite.read_table(spark, path, "scenes", between=None if idx is None else ("idx", *idx)).select("idx", F.from_json(sqlite.inflate(F.col("payload")), SCENE).alias("scene")).select("idx", "scene.*")
 
 
 def store(scenes: DataFrame, path: str) -> None:
@@ -72,20 +75,43 @@ def stats(scenes: DataFrame) -> DataFrame:
     return scenes.agg(F.count("*").alias("records"), F.count_if(F.size("rooms") > 0).alias("with_rooms"), F.sum(F.size("rooms")).alias("rooms"), F.sum(F.size("portals")).alias("portals"))
 
 
-#: Where a scale is plausible (metres a unit), and the shares and depths it is inferred from.
-LEAST_SCALE, MOST_SCALE, NET_OF_GROSS, WALL_DEPTH, FALLBACK_SCALE = 0.005, 0.5, 0.75, 0.2, 0.05
+#: Plausible depths of a wall and lengths of a plan (m), shares of the gross area that are net, the net share and the depth that a scale is inferred from, and the scale of nothing known.
+WALLS, SPANS, NET_SHARES, NET_OF_GROSS, WALL_DEPTH, FALLBACK_SCALE = (0.08, 0.40), (3.0, 80.0), (0.2, 1.15), 0.75, 0.2, 0.05
+
 
+def metric_scale(net_area, gross_area, drawn_area, wall_depth, span):
+    """Metres a unit and where that comes from: net area, else gross area, else the walls' depth, else a constant.
 
-def metric_scale(net_area, gross_area, drawn_area, wall_depth):
-    """Metres a unit and where that comes from: net area, else gross area, else the walls' depth, else a constant."""
-    of = lambda area: F.sqrt(area / F.when(drawn_area > 0, drawn_area))
-    fits = lambda s: s.between(LEAST_SCALE, MOST_SCALE)
-    net, gross, wall = of(net_area), of(gross_area * NET_OF_GROSS), F.lit(WALL_DEPTH) / F.when(wall_depth > 0, wall_depth)
-    value = F.when(fits(net), net).when(fits(gross), gross).when(wall.isNotNull(), wall).otherwise(FALLBACK_SCALE)
-    source = F.when(fits(net), "net_area").when(fits(gross), "gross_area_proxy").when(wall.isNotNull(), "wall_depth").otherwise("fallback")
+    A scale from an area must give walls and the longer side of the drawing a
+    plausible length; a net area must be a plausible part of the gross area.
+    """
+    drawn, wall = F.when(drawn_area > 1e-9, drawn_area), F.greatest(F.coalesce(wall_depth, F.lit(0.0)), F.lit(0.0))
+    fits = lambda s: F.coalesce((wall * s).between(*WALLS) & (span * s).between(*SPANS), F.lit(False))
+    share = net_area / F.when(gross_area > 0, gross_area)
+    net = F.when(F.coalesce(share.between(*NET_SHARES), F.lit(False)), F.sqrt(net_area / drawn))
+    gross = F.sqrt(F.when(gross_area > 0, gross_area) * NET_OF_GROSS / drawn)
+    by_wall = F.lit(WALL_DEPTH) / F.when(wall > 0, wall)
+    value = F.when(fits(net), net).when(fits(gross), gross).when(by_wall.isNotNull(), by_wall).otherwise(FALLBACK_SCALE)
+    source = F.when(fits(net), "net_area").when(fits(gross), "gross_area_proxy").when(by_wall.isNotNull(), "wall_depth_fallback").otherwise("constant_fallback")
     return F.struct(value.alias("meters_per_unit"), source.alias("scale_source"))
 
 
+#: Fields that a plan's record keeps whatever is done with it.
+STATIC = ("source_index", "sample_id", "unit_type", "net_area_m2", "gross_area_m2", "meters_per_unit", "scale_source", "wall_depth_m", "height_m", "size", "corners", "rooms", "portals", "features", "surfaces")
+
+
+def static_record(scenes: DataFrame, source_index=None) -> DataFrame:
+    """The static part of scenes, under another source index if one is given."""
+    own = scenes if source_index is None else scenes.withColumn("source_index", source_index)
+    return own.select(*STATIC)
+
+
+def eligible_scenes(scenes: DataFrame, profiles: DataFrame, *, index: str = "idx") -> tuple[DataFrame, DataFrame]:
+    """The scenes whose profile allows them, and why the others are refused (index, filter_reasons)."""
+    met = scenes.join(profiles.select(index, "eligible", "filter_reasons"), index)
+    return met.where("eligible").drop("eligible", "filter_reasons"), met.where("not eligible").select(index, "filter_reasons")
+
+
 def at_height(surfaces, height):
     """Surfaces of another ceiling height; what becomes thinner than 15 mm goes."""
     fitted = F.transform(surfaces, lambda s: s.withField("z_max", F.least(s["z_max"], height)).withField("z_min", F.greatest(F.lit(0.0), s["z_min"])))

@@ -3,7 +3,8 @@
 ``spark.dataSource.register(SqliteSource)``, then
 ``spark.read.format("sqlite").option("path", ...).option("table", "scenes").load()``.
 A table is read in ranges of row ids, one connection a range; column types are
-those that the table declares. Files must lie where every executor finds them.
+those that the table declares. Options column, low and high restrict the rows
+within the file. Files must lie where every executor finds them.
 """
 
 from __future__ import annotations
@@ -63,24 +64,33 @@ class SqliteSource(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.table = options["path"], options["table"]
+        self.column = options.get("column")
+        self.bounds = (int(options["low"]), int(options["high"])) if self.column else ()
+
+    def _where(self) -> str:
+        return f" AND {_name(self.column)} BETWEEN ? AND ?" if self.column else ""
 
     def partitions(self) -> list[InputPartition]:
         with _open(self.path) as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_name(self.table)}").fetchone()
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_name(self.table)} WHERE true{self._where()}", self.bounds).fetchone()
         return [_Range(k, min(k + ROWS_A_RANGE - 1, high)) for k in range(low, high + 1, ROWS_A_RANGE)] if low is not None else [_Range(0, -1)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         columns = _columns(self.path, self.table)
         names = ", ".join(f'"{n}"' for n, _, _ in columns)
         with _open(self.path) as db:
-            cursor = db.execute(f"SELECT {names} FROM {_name(self.table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid", (partition.low, partition.high))
+            cursor = db.execute(f"SELECT {names} FROM {_name(self.table)} WHERE rowid BETWEEN ? AND ?{self._where()} ORDER BY rowid", (partition.low, partition.high, *self.bounds))
             while rows := cursor.fetchmany(2000):
                 yield pa.RecordBatch.from_arrays([pa.array(values, t) for values, (_, _, t) in zip(zip(*rows), columns)], [n for n, _, _ in columns])
 
 
-def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, table: str, *, between: tuple[str, int, int] | None = None) -> DataFrame:
+    """A table; with a column, a first and a last value the file is asked for these rows only."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").option("path", path).option("table", table).load()
+    reader = spark.read.format("sqlite").option("path", path).option("table", table)
+    if between is not None:
+        reader = reader.option("column", between[0]).option("low", str(between[1])).option("high", str(between[2]))
+    return reader.load()
 
 
 def inflate(payload: Column) -> Column:

@@ -34,6 +34,8 @@ def packed(tmp_path):
 def test_packed_scenes(spark, packed, tmp_path, monkeypatch):
     monkeypatch.setattr(sqlite, "ROWS_A_RANGE", 3)
     read = scenes.read_packed(spark, packed)
+    some = scenes.read_packed(spark, packed, idx=(2, 4))
+    assert sorted(r.idx for r in some.select("idx").collect()) == [2, 3, 4] and some.rdd.getNumPartitions() == 1
     assert read.count() == 7 and {r.idx for r in read.select("idx").collect()} == set(range(7))
     assert scenes.rooms(read).count() == 12
     scenes.store(read.where("idx <> 3"), f"{tmp_path}/out")
@@ -59,13 +61,22 @@ def test_routes_and_connectivity(spark):
 
 
 def test_scale_and_text(spark):
-    rows = spark.createDataFrame([(50.0, 55.0, 5000.0, 2.0), (5e6, 55.0, 5000.0, 2.0), (None, None, 5000.0, 2.0), (None, None, None, None)], "net double, gross double, drawn double, wall double")
-    got = [tuple(r.s) for r in rows.select(scenes.metric_scale(F.col("net"), F.col("gross"), F.col("drawn"), F.col("wall")).alias("s")).collect()]
-    assert got[0] == (0.1, "net_area") and got[1][1] == "gross_area_proxy" and got[2] == (0.1, "wall_depth") and got[3] == (0.05, "fallback")
-    words = spark.createDataFrame([("3",), ("Two",), ("三",), ("many",)], "w string")
-    assert [r.n for r in words.select(text.parse_count(F.col("w")).alias("n")).collect()] == [3, 2, 3, 1]
-    d = spark.createDataFrame([("a room 4 m x 5.5 m",), ("4×3",), ("none",)], "t string").select(text.dimensions(F.col("t")).alias("d")).collect()
-    assert [tuple(r.d) for r in d] == [(4.0, 5.5), (4.0, 3.0), (None, None)]
+    values = [(50.0, 55.0, 5000.0, 2.0, 80.0), (5e6, 55.0, 5000.0, 2.0, 80.0), (50.0, 55.0, 5000.0, 9.0, 80.0), (None, None, 5000.0, 2.0, 80.0), (None, None, None, None, None)]
+    rows = spark.createDataFrame(values, "net double, gross double, drawn double, wall double, span double")
+    got = [tuple(r.s) for r in rows.select(scenes.metric_scale(*[F.col(c) for c in ("net", "gross", "drawn", "wall", "span")]).alias("s")).collect()]
+    assert got[0] == (0.1, "net_area") and got[1][1] == "gross_area_proxy" and [g[1] for g in got[2:]] == ["wall_depth_fallback", "wall_depth_fallback", "constant_fallback"]
+    assert got[3][0] == 0.1 and got[4][0] == 0.05
+    words = spark.createDataFrame([("3",), ("Two",), ("三",), ("many",), ("九",), ("十",), ("十二",), ("二十三",), ("ten",), ("zero",), ("零",)], "w string")
+    assert [r.n for r in words.select(text.parse_count(F.col("w")).alias("n")).collect()] == [3, 2, 3, 1, 9, 10, 12, 23, 10, 0, 0]
+    d = spark.createDataFrame([("a room 4 m x 5.5 m",), ("4×3",), ("none",), ("length 8 m, width 6",), ("宽5米",), ("7 BY 6, height 3.1m",)], "t string").select(text.dimensions(F.col("t")).alias("d"), text.height(F.col("t")).alias("h")).collect()
+    assert [tuple(r.d) for r in d] == [(4.0, 5.5), (4.0, 3.0), (None, None), (8.0, 6.0), (None, 5.0), (7.0, 6.0)] and d[5].h == 3.1
+    program = spark.createDataFrame([("a flat with three bedrooms, 2 baths and a balcony; 1 balcony",), ("两室一厅",), ("0 living rooms, 0 kitchens, 0 bedrooms, 0 bathrooms",)], "t string").select(F.expr("1"), text.room_program(F.col("t")).alias("p")).collect()
+    assert [[r["id"] for r in row.p] for row in program][0] == ["living_0", "kitchen_0", "bedroom_0", "bedroom_1", "bedroom_2", "bathroom_0", "bathroom_1", "balcony_0"]
+    assert sum(r["type"] == "bedroom" for r in program[1].p) == 2 and [r["id"] for r in program[2].p] == ["living_0"]
+    sides = spark.createDataFrame([(None,), (12.34567,)], "w double").select(text.side(F.col("w"), 10.0).alias("s"), text.ceiling(F.lit(None).cast("double")).alias("h")).collect()
+    assert [(r.s, r.h) for r in sides] == [(10.0, 2.8), (12.3457, 2.8)]
+    with pytest.raises(Exception, match="between 3 and 40"):
+        spark.range(1).select(text.side(F.lit(2.0), 10.0)).collect()
     s = spark.createDataFrame([("ab",)], "t string").select(text.label_seed(F.col("t")).alias("s"), text.metric_text(F.lit(None).cast("double")).alias("m")).first()
     assert (s.s, s.m) == (1 * 97 + 2 * 98, "n/a")
 
@@ -81,17 +92,17 @@ def test_geometry_columns_equal_kernels(spark):
 
 
 def test_materials(spark):
-    mappings = spark.createDataFrame([("wall", "plaster", 1, ["low", "medium"], True), ("wall", "panel", 2, ["high"], False), ("sofa", "textile", 1, ["high"], False)], "semantic string, family string, priority int, allowed array<string>, is_default boolean")
+    mappings = spark.createDataFrame([("wall", "plaster", 1, ["reflective", "semi_reflective"], True), ("wall", "panel", 2, ["absorptive"], False), ("sofa", "textile", 1, ["absorptive"], False)], "semantic string, family string, priority int, allowed array<string>, is_default boolean")
     stock = spark.createDataFrame(
-        [(1, "plaster", "low", None, True, "t"), (2, "plaster", "medium", None, None, None), (3, "panel", "high", None, True, None), (4, "panel", "high", None, False, None), (5, "textile", "high", "equivalent_area", True, None)],
+        [(1, "plaster", "reflective", None, True, "t"), (2, "plaster", "semi_reflective", None, None, None), (3, "panel", "absorptive", None, True, None), (4, "panel", "absorptive", None, False, None), (5, "textile", "absorptive", "equivalent_area", True, None)],
         "material_idx int, family string, level string, kind string, selectable boolean, tag string",
     )
-    requests = spark.createDataFrame([(1, "wall", "auto"), (2, "wall", "very_high"), (3, "wall", "low"), (4, "sofa", "high"), (5, "moon", "auto")], "request_id long, semantic string, asked string")
+    requests = spark.createDataFrame([(1, "wall", "auto"), (2, "wall", "highly_absorptive"), (3, "wall", "reflective"), (4, "sofa", "absorptive"), (5, "moon", "auto")], "request_id long, semantic string, asked string")
     got = {r.request_id: r for r in materials.draw(requests, mappings, stock, {"wall": ["t"]}, seed=3).collect()}
-    assert got[1].family == "plaster" and (got[2].material_idx, got[2].fallback_from) == (3, "very_high") and got[3].material_idx == 1
+    assert got[1].family == "plaster" and (got[2].material_idx, got[2].fallback_from) == (3, "highly_absorptive") and got[3].material_idx == 1
     assert got[4].material_idx is None and got[4].fallback_alpha == 0.55 and got[5].fallback_alpha == 0.20
     c = {r.semantic: r for r in materials.catalog(mappings, stock).collect()}
-    assert c["wall"].classes == ["high", "low", "medium"] and c["wall"].default_family == "plaster" and c["sofa"].classes is None
+    assert c["wall"].classes == ["absorptive", "reflective", "semi_reflective"] and c["wall"].default_family == "plaster" and c["sofa"].classes is None
     a = spark.createDataFrame([([0.0, 0.0, x, x, x, 0.0],) for x in (0.05, 0.1, 0.3, 0.9)], "a array<double>")
     assert [r.k for r in a.select(materials.absorption_class(F.col("a")).alias("k")).collect()] == list(materials.CLASSES)
 
