@@ -108,6 +108,44 @@ def through_responses(dry: Column, response: Column, gain_db: float = 0.0) -> Co
     return of(dry, response)
 
 
+def aligned(estimate: Column, reference: Column, most: int) -> Column:
+    """shift (samples by which the estimate is late, up to ``most``) and si_sdr once both are aligned."""
+
+    @F.pandas_udf("shift int, si_sdr double")
+    def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [s.align(x, y, most) for x, y in zip(a, b)]
+        return pd.DataFrame({"shift": [late for _, _, late in found], "si_sdr": [s.si_sdr(x, y) for x, y, _ in found]}).astype({"shift": "int32"})
+
+    return of(estimate, reference)
+
+
+def distortionless(rows: DataFrame, keys: Sequence[str], *, fs: float, n_fft: int = 512, delay: int = 3, taps: int = 5) -> DataFrame:
+    """One dry signal a case by weighted power. ``rows``: keys, channel, signal, arrival."""
+
+    def kernel(pdf):
+        return {"signal": [s.power_distortionless(_stack(pdf), pdf["arrival"].to_numpy(float), fs, n_fft=n_fft, delay=delay, taps=taps)]}
+
+    return _per_case(rows, keys, kernel, "signal array<double>")
+
+
+def beamform_components(rows: DataFrame, keys: Sequence[str], components: Sequence[str], *, kind: str, fs: float, n_fft: int = 512) -> DataFrame:
+    """Every component under the weights that one beamformer gets from the target and the noise: keys, component, signal.
+
+    ``rows``: keys, channel, arrival, reliability, target, noise and the components as arrays.
+    """
+
+    def kernel(pdf):
+        vector = s.steering(pdf["arrival"].to_numpy(float), fs, n_fft)
+        if kind == "weighted_ds":
+            weights = s.weighted_steering(vector, pdf["reliability"].to_numpy(float))
+        else:
+            target, noise = (s.covariance(s.stft(_stack(pdf, c), n_fft)) for c in ("target", "noise"))
+            weights = s.beamformer(kind, vector, target, noise)
+        return {"component": list(components), "signal": [s.apply_weights(_stack(pdf, c), weights, n_fft) for c in components]}
+
+    return _per_case(rows, keys, kernel, "component string, signal array<double>")
+
+
 def coupled_decay(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rt60 of coupled rooms. ``rows``: keys, channel (room's number), volume, absorption, coupling (array, a value a room), receiver (boolean)."""
 

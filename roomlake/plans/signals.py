@@ -34,7 +34,26 @@ def schroeder_rt60(read):
     return rounded(decay.schroeder_rt60(_bins(read), ["user_id"], at="bin", energy="energy", bin_seconds=0.1))
 
 
-@query()
+def _two_slopes_sql() -> str:
+    """Sums before, after and over all of each point, the three lines from them, and the best of the splits that are good enough."""
+    terms = {"n": "1.0", "x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y"}
+    frames = {"l": "ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "r": "ORDER BY x ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING", "a": ""}
+    sums = [f"{f} OVER (PARTITION BY user_id {w}) AS {s}_{n}" for s, w in frames.items() for n, f in (*((t, f"sum({e})") for t, e in terms.items()), ("hi", "max(y)"), ("lo", "min(y)"))]
+    fits = []
+    for s in frames:
+        sxx, sxy, syy = (f"({s}_{a}{b} - {s}_{a} * {s}_{b} / {s}_n)" for a, b in ("xx", "xy", "yy"))
+        slope = f"CASE WHEN {s}_n >= 2 AND {sxx} > 0 THEN {sxy} / {sxx} END"
+        sse = f"greatest({syy} - ({slope}) * {sxy}, 1e-12)"
+        fits += [f"{slope} AS {s}_slope", f"CASE WHEN {s}_n >= 2 THEN {sse} END AS {s}_sse", f"CASE WHEN {s}_n >= 2 AND {syy} > 0 THEN 1 - {sse} / {syy} END AS {s}_r2"]
+    gain = "a_n * ln(a_sse / a_n) + 2 * ln(a_n) - (a_n * ln((l_sse + r_sse) / a_n) + 5 * ln(a_n))"
+    enough = " AND ".join(f"{s}_n >= 3 AND {s}_hi - {s}_lo >= 3 AND {s}_slope < -1e-9 AND {s}_r2 >= 0.95" for s in "lr")
+    good = f"{enough} AND a_n >= 6 AND a_hi - a_lo >= 6 AND {gain} >= 10 AND greatest(l_slope / r_slope, r_slope / l_slope) >= 1.35"
+    return f"""WITH {BINS_SQL}, p AS (SELECT user_id, bin * 0.1 AS x, db AS y FROM d WHERE db BETWEEN -35 AND -5), s AS (SELECT *, {", ".join(sums)} FROM p), f AS (SELECT *, {", ".join(fits)} FROM s),
+z AS (SELECT user_id, count(*) AS points, any_value(a_slope) AS slope, arg_max({{'l': l_slope, 'r': r_slope, 'x': x}}, ({gain}, -x)) FILTER (WHERE {good}) AS best FROM f GROUP BY user_id)
+SELECT user_id, points, CASE WHEN best IS NOT NULL THEN 'double' ELSE 'single' END AS shape, round(CASE WHEN slope < -1e-9 THEN -60 / slope END, 6) AS rt60, round(-60 / best.l, 6) AS rt60_early, round(-60 / best.r, 6) AS rt60_late, round(best.x::DOUBLE, 6) AS knee FROM z"""
+
+
+@query(_two_slopes_sql())
 def decay_two_segment(read):
     return rounded(decay.two_slopes(_bins(read), ["user_id"], at="bin", energy="energy", bin_seconds=0.1, least_points=3, least_span=3.0))
 
