@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
+from collections.abc import Mapping
+from html import escape
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PREVIEW_POINTS = 48_000
@@ -74,6 +77,50 @@ def markdown(table: DataFrame, *, digits: int = 3, most: int = 1000) -> str:
     return "\n".join(["| " + " | ".join(table.columns) + " |", "|" + "-|" * len(table.columns), *("| " + " | ".join(map(text, r)) + " |" for r in rows)])
 
 
+def html(text: str, title: str) -> str:
+    """A page of its own from a report: headings, lists and tables of the Markdown that :func:`markdown` makes."""
+    out, rows = [], []
+
+    def close() -> None:
+        if rows:
+            head, *body = rows
+            cells = lambda row, tag: "".join(f"<{tag}>{escape(c.strip())}</{tag}>" for c in row)
+            out.append(f"<table><tr>{cells(head, 'th')}</tr>" + "".join(f"<tr>{cells(r, 'td')}</tr>" for r in body) + "</table>")
+            rows.clear()
+
+    for line in text.split("\n"):
+        if line.startswith("|"):
+            if not set(line) <= set("|-"):
+                rows.append(line.strip("|").split("|"))
+            continue
+        close()
+        marks = len(line) - len(line.lstrip("#"))
+        if marks:
+            out.append(f"<h{marks}>{escape(line[marks:].strip())}</h{marks}>")
+        elif line.startswith("* "):
+            out.append(f"<p>{escape(line[2:])}</p>")
+        elif line.strip():
+            out.append(f"<p>{escape(line)}</p>")
+    close()
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title><style>body{{font-family:sans-serif;max-width:70em;margin:auto}}td,th{{padding:.2em .8em;text-align:right}}</style></head><body>{''.join(out)}</body></html>"
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file, by the file system that ``path`` names."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def export_scene(spark: SparkSession, scene: Mapping, path: str) -> None:
+    """A scene with its sources and receivers as one JSON document."""
+    write_text(spark, json.dumps(scene, ensure_ascii=False, indent=2, default=lambda v: v.tolist()), path)
+
+
 def first_changes(frames: DataFrame, keys: list[str], *, order: str, value: str) -> DataFrame:
     """The first frame at which a value differs from that of the frame before."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -49,3 +49,22 @@ def validation_plans(split: DataFrame, *, key: str, place: str, n: int) -> DataF
     from pyspark.sql import Window
 
     return split.where("split = 'validation'").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(place))).where(F.col("_r") <= n).drop("_r")
+
+
+def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one JSON object of a file; no row where there is no file or no object."""
+    try:
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_materials(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Materials of a packed file (table materials), a Parquet folder, or lines of JSON, told apart by the ending."""
+    from roomlake.sources import sqlite
+
+    if path.endswith((".sqlite", ".db")):
+        return sqlite.read_table(spark, path, "materials")
+    return read_jsonl(spark, path, schema) if path.endswith((".jsonl", ".json")) else spark.read.schema(schema).parquet(path)
