@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomlake.functions import frontends
 from roomlake.functions import spectral as s
 
 
@@ -113,7 +114,7 @@ def aligned(estimate: Column, reference: Column, most: int) -> Column:
 
     @F.pandas_udf("shift int, si_sdr double")
     def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [s.align(x, y, most) for x, y in zip(a, b)]
+        found = [s.align_pair(x, y, most) for x, y in zip(a, b)]
         return pd.DataFrame({"shift": [late for _, _, late in found], "si_sdr": [s.si_sdr(x, y) for x, y, _ in found]}).astype({"shift": "int32"})
 
     return of(estimate, reference)
@@ -146,6 +147,21 @@ def beamform_components(rows: DataFrame, keys: Sequence[str], components: Sequen
     return _per_case(rows, keys, kernel, "component string, signal array<double>")
 
 
+def front_ends(rows: DataFrame, keys: Sequence[str], names: Sequence[str], *, fs: float, n_fft: int = 512) -> DataFrame:
+    """Each front end's measures of each case: keys, pipeline, ratios before and after, and gains.
+
+    ``rows``: keys, channel, arrival, target, noise, mixture, sensor, dry (arrays; dry is that of the first channel).
+    """
+    measures = ("input_snr_db", "input_si_sdr_db", "output_snr_db", "output_si_sdr_db", "output_stoi", "output_pesq", "output_dry_si_sdr_db", "output_dry_stoi", "output_dry_pesq", "gain_snr_db", "gain_si_sdr_db")
+
+    def kernel(pdf):
+        parts = {c: _stack(pdf, c) for c in ("target", "noise", "mixture", "sensor")}
+        found = frontends.compare(names, parts, pdf["arrival"].to_numpy(float), np.asarray(pdf["dry"].iloc[0], float), fs, n_fft=n_fft)
+        return {"pipeline": [r["pipeline"] for r in found], **{m: [r[m] for r in found] for m in measures}}
+
+    return _per_case(rows, keys, kernel, "pipeline string, " + ", ".join(f"{m} double" for m in measures))
+
+
 def coupled_decay(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rt60 of coupled rooms. ``rows``: keys, channel (room's number), volume, absorption, coupling (array, a value a room), receiver (boolean)."""
 
