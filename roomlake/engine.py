@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomlake.functions import acoustics, shapes, tracer
+from roomlake.functions import acoustics, inputs, shapes, tracer
 from roomlake.operators import motion, solve
 
 JOBS = "job_id long, source array<double>, receiver array<double>, seed long"
@@ -80,9 +80,10 @@ class Scene:
             raise ValueError(f"{tuple(point)} isn't a point of the room")
         return p
 
-    def jobs(self, pairs: Sequence[tuple[Sequence[float], Sequence[float]]], *, seed: int = 0) -> DataFrame:
-        """A job for each pair of source and receiver; its seed is the base plus its place."""
-        return self.spark.createDataFrame([(k, self._check(s), self._check(r), seed + k) for k, (s, r) in enumerate(pairs)], JOBS)
+    def jobs(self, pairs: Sequence, *, seed: int = 0) -> DataFrame:
+        """A job for each pair of source and receiver (two points, a mapping or a Pair); its seed is its own, or the base plus its place."""
+        found = [inputs.Pair.of(p, k) for k, p in enumerate(pairs)]
+        return self.spark.createDataFrame([(k, self._check(p.source), self._check(p.receiver), seed + k if p.seed is None else p.seed) for k, p in enumerate(found)], JOBS)
 
     def trace(self, jobs: DataFrame, *, quality: str = "preview", seconds: float = 1.0) -> DataFrame:
         """job_id, band, bin, energy; the rays of a job are dealt to several tasks and summed."""
