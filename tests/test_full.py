@@ -98,3 +98,24 @@ def test_boxes_hold_every_surface_once(n):
     low = np.random.default_rng(n).uniform(0, 9, (n, 3))
     found = plan_tracer.halved(low, low + 1)
     assert sorted(k for _, _, own in found for k in own.tolist()) == list(range(n)) and all(len(own) <= plan_tracer.IN_A_BOX for *_, own in found)
+
+
+def test_measurements(spark):
+    from roomlake.operators import measure
+
+    plans = spark.createDataFrame([(1, json.dumps(two_rooms()))], "plan_id long, plan string")
+    jobs = spark.createDataFrame([(1, 1, [3.4, 2.0, 1.5], [1.4, 2.0, 1.5], 5), (2, 1, [1.4, 3.5, 1.5], [1.4, 1.0, 1.5], 6)], full.JOBS)
+    single = {r.job_id: r for r in measure.singles(jobs, plans, fs=16000, seconds=0.2).collect()}
+    assert abs(single[1].arrival - 2 / 343) < 5e-4 and abs(single[2].arrival - 2.5 / 343) < 5e-4 and all(0.05 <= r.confidence <= 1 for r in single.values())
+    ring = [(0.08 * np.cos(a), 0.08 * np.sin(a)) for a in np.radians([0, 90, 180, 270])]
+    bearing = {r.job_id: r.bearing for r in measure.array_bearings(jobs, plans, ring, fs=16000, seconds=0.1).collect()}
+    assert set(bearing) == {1, 2} and all(0 <= b < 360 for b in bearing.values())
+
+
+def test_relative_arrivals(spark):
+    from roomlake.operators import measure
+
+    x = np.random.default_rng(3).standard_normal(2000)
+    rows = [(1, c, (np.roll(x, 3 * c) * (2 if c == 1 else 1)).tolist()) for c in range(3)]
+    got = {r.channel: r.delay * 1000 for r in measure.relative_arrivals(spark.createDataFrame(rows, "k int, channel int, signal array<double>"), ["k"], fs=1000.0).collect()}
+    assert [round(got[c]) for c in range(3)] == [-3, 0, 3]
