@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from roomlake.llm.memory import releasing
 
-#: Stretches, and pieces, whose ids are remembered in each of two generations.
+#: Stretches, and pieces, whose ids are remembered in each of two generations; pairs of tokens that are remembered.
 REMEMBER = 150_000
 REMEMBER_UP_TO = 64
 
@@ -111,7 +111,7 @@ class Vocabulary:
             if len(token) > 1 and rank in self.splits:
                 self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.compatible = functools.lru_cache(1 << 19)(self._compatible)
+        self.compatible = functools.lru_cache(REMEMBER)(self._compatible)
         self.pieces = Recent(lambda piece: array("i", self.encode_piece(piece.encode())).tobytes(), REMEMBER)
         self.after_blank = Recent(lambda rest: b"".join(map(self.pieces.__getitem__, self.find(" " + rest))), REMEMBER)
 
@@ -162,11 +162,9 @@ class Vocabulary:
         return found
 
     def forget(self) -> None:
-        """Keep one generation of pieces only, for the next task."""
-        self.after_blank.clear()
+        """Keep one generation of stretches and pieces, for the next task."""
         self.after_blank.older = {}
         self.pieces.older = {}
-        self.compatible.cache_clear()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as native 32-bit integers."""
