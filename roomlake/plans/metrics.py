@@ -73,11 +73,11 @@ def positive_share_p10(read):
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, sum(value) AS value FROM events GROUP BY ALL),
 b AS (SELECT user_id, day, value AS b FROM d WHERE event_type = 'click')
-SELECT event_type, count(*) AS pairs, round(avg(value - b), 6) AS delta_value, round(avg((value - b > 0)::INT), 6) AS win_value
+SELECT event_type, count(*) AS pairs, round(avg(value - b), 5) AS delta_value, round(avg((value - b > 0)::INT), 5) AS win_value
 FROM d JOIN b USING (user_id, day) WHERE event_type <> 'click' GROUP BY event_type""")
 def paired_comparison(read):
     daily = read("events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.sum("value").alias("value"))
-    return rounded(agg.paired_comparison(daily, ["user_id", "day"], strategy="event_type", baseline="click", metrics=["value"]))
+    return rounded(agg.paired_comparison(daily, ["user_id", "day"], strategy="event_type", baseline="click", metrics=["value"]), 5)
 
 
 @query("""WITH s AS (SELECT l_returnflag, l_suppkey, sum(l_quantity) AS s, count(l_quantity) AS n FROM lineitem GROUP BY ALL),
