@@ -7,9 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomlake.storage import Workspace
-
-#: Ranges into which each group's values are divided; a group of a third of all rows is sorted by so many tasks.
+#: Ranges into which each group's values are divided (a power of two); a group of a third of all rows is sorted by so many tasks.
 RANGES = 64
 
 
@@ -24,10 +22,11 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def ranged(rows: DataFrame, keys: Sequence[str], value: str, *, ranges: int = RANGES) -> DataFrame:
-    """``rows`` with ``_range``: the number of the group's approximate quantiles below the value, -1 for null."""
+    """``rows`` with ``_range``: the number of the group's approximate quantiles below the value, by halving; -1 for null."""
     steps = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
-    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col(value)))
+    halves = F.array(*[F.lit(ranges >> k) for k in range(1, ranges.bit_length())])
+    below = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.element_at("_cuts", at + half) < F.col(value), at + half).otherwise(at))
     return join_on(rows, cuts, keys).withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(below)).drop("_cuts")
 
 
@@ -54,14 +53,13 @@ def percentiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple
     divided into ranges and summed up in each, so that a group of very many
     different values is no task of its own.
     """
-    space = Workspace(rows.sparkSession, "percentiles")
     names = list(wanted)
     which = {n: next(k for k, m in enumerate(names) if wanted[m][0] is wanted[n][0]) for n in names}  # names of one column share its counts
     parts = F.array(*[F.struct(F.lit(k).alias("w"), wanted[names[k]][0].cast("double").alias("v")) for k in sorted(set(which.values()))])
     each = rows.select(*keys, F.inline(F.filter(parts, lambda x: x["v"].isNotNull())))
-    counts = space.save(each.groupBy(*keys, "w", "v").agg(F.count("*").alias("n")), "counts")
+    counts = each.groupBy(*keys, "w", "v").agg(F.count("*").alias("n"))  # its shuffle is reused wherever it stands below
     group = [*keys, "w"]
-    divided = space.save(ranged(counts, group, "v"), "ranged")
+    divided = ranged(counts, group, "v")
     sizes = divided.groupBy(*group, "_range").agg(F.sum("n").alias("_n"))
     w = Window.partitionBy(*group)
     before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
