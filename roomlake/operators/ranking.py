@@ -46,9 +46,17 @@ def with_place(rows: DataFrame, keys: Sequence[str], *, value: str, index: str,
     return join_on(local, offsets, [*keys, "_range"]).withColumn(place, F.col("_local") + F.col("_before")).drop("_local", "_before", "_range")
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once; null if one is."""
+    zero = F.lit(0.0)
+    called = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), *[F.coalesce(x, zero) for x in (a, b, c)]).cast("double")
+    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull(), called)
+
+
 def percentiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[Column, float]]) -> DataFrame:
     """``keys`` and for each name the exact percentile (a part of 1) of a column's values, between two of them by proportion; null without values.
 
+    The proportion is rounded as DuckDB does: of two equal values it may miss them by the last bit, which decides on which side of it they are.
     Equal values of a group are counted before they are shuffled. The counts are
     divided into ranges and summed up in each, so that a group of very many
     different values is no task of its own.
@@ -73,5 +81,6 @@ def percentiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple
         found += [F.max(F.when(here & has(F.floor(at)), F.col("v"))).alias(f"_lo{k}"), F.max(F.when(here & has(F.ceil(at)), F.col("v"))).alias(f"_hi{k}"), F.max(F.when(here, at)).alias(f"_at{k}")]
     picked = placed.groupBy(*keys).agg(*found)
     lo, hi, at = (lambda k, x=x: F.col(f"_{x}{k}") for x in ("lo", "hi", "at"))
-    between = lambda k: F.when(F.floor(at(k)) == F.ceil(at(k)), lo(k)).otherwise((F.ceil(at(k)) - at(k)) * lo(k) + (at(k) - F.floor(at(k))) * hi(k))
+    past = lambda k: at(k) - F.floor(at(k))
+    between = lambda k: F.when(F.floor(at(k)) == F.ceil(at(k)), lo(k)).otherwise(fused(lo(k), 1 - past(k), hi(k) * past(k)))
     return picked.select(*keys, *[between(k).alias(n) for k, n in enumerate(names)])

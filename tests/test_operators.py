@@ -6,7 +6,9 @@ import json
 import sqlite3
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,19 @@ def test_places_are_exact(spark):
         assert {r.i: (r["_at"], r["_c"]) for r in got if r.g == g} == {r[1]: (k, len(own)) for k, r in enumerate(own)}
 
 
+def test_percentiles_round_as_sql(spark):
+    """Between equal values the last bit tells whether they are below the percentile."""
+    rng = np.random.default_rng(2)
+    data = [(g, float(v)) for g in range(300) for v in np.round(rng.uniform(-2100, 2100, 1 + g % 3), 2).repeat(rng.integers(1, 15))]
+    data += [(300, float("inf")), (300, float("inf")), (301, 1e308), (301, -1e308)]
+    parts = {"a": 1 / 3, "b": 2 / 3, "c": 0.1, "d": 0.5}
+    found = ranking.percentiles(spark.createDataFrame([*data, (302, None)], "g int, v double"), ["g"], {n: (F.col("v"), p) for n, p in parts.items()}).collect()
+    con = duckdb.connect()
+    con.register("t", pa.table({"g": [g for g, _ in data], "v": [v for _, v in data]}))
+    wanted = con.sql(f"SELECT g, {', '.join(f'quantile_cont(v, {p!r}::DOUBLE)' for p in parts.values())} FROM t GROUP BY g").fetchall()
+    assert {tuple(r) for r in found if r.g < 302} == set(wanted) and not any(r.g == 302 and r.a is not None for r in found)
+
+
 def test_exports(spark):
     rows = spark.createDataFrame([(1, [0.0, -3.0, 1.0, 2.0, 2.0], 0.5), (2, [], 0.1)], "k int, rir array<double>, rt60 double")
     got = rows.select("k", exports.preview(F.col("rir"), 2).alias("p"), exports.as_npy(F.col("rir")).alias("n"), exports.rir_payload(8000, F.col("rir"), F.col("rt60")).alias("j")).orderBy("k").collect()
