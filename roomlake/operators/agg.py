@@ -7,6 +7,7 @@ divided into ranges (:mod:`roomlake.operators.ranking`). Nulls are skipped as SQ
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from roomlake.storage import Workspace
 
 #: What a configuration must reach: median and 90th percentile of the error, share of right rooms.
 MEDIAN_AT_MOST, P90_AT_MOST, ACCURACY_AT_LEAST = 1.0, 2.0, 0.85
+#: Draws of a bootstrap that one task makes, on average.
+DRAWS_A_TASK = 2_000_000
 
 
 def share(flag: Column) -> Column:
@@ -89,17 +92,22 @@ def bootstrap_cluster_ci(rows: DataFrame, group: Sequence[str], *, cluster: str,
     """95 % interval of the mean of ``value`` when clusters (whole numbers) are drawn with replacement.
 
     Clusters are summed before they are resampled, so a replicate costs a row a
-    cluster. Draw d of a replicate takes the cluster of rank (hash of replicate
+    cluster; draws are made where they are looked up, in a number of tasks that is said
+    outright, and only the sums of clusters may be sent to all tasks. Groups of a null
+    key give nothing. Draw d of a replicate takes the cluster of rank (hash of replicate
     and d) modulo the number of clusters; the hash is arithmetic, so any engine
     gives the same draws.
     """
-    sums = rows.groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    named = rows.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group], F.lit(True)))
+    sums = named.groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     ranked = with_place(sums, group, value=cluster, index=cluster, place="rank", count="clusters")
     ranked = Workspace(rows.sparkSession, "bootstrap").save(ranked, "clusters")
-    draws = ranked.select(*group, "clusters", F.col("rank").alias("draw")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    dealt = ranked.select(*group, "clusters", F.col("rank").alias("draw")).repartition(1 + ranked.count() * iterations // DRAWS_A_TASK)
+    draws = dealt.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     seed = F.col("replicate").cast("long") * 1000003 + F.col("draw").cast("long")
     draws = draws.withColumn("rank", F.pmod(F.pmod(seed * multiplier, F.lit(modulus).cast("long")), F.col("clusters")).cast("int"))
-    means = draws.join(ranked.select(*group, "rank", "s", "n"), [*group, "rank"]).groupBy(*group, "replicate").agg((F.sum("s") / F.sum("n")).alias("m"))
+    # every draw has its cluster; of a left join Spark never sends the left side, whose size it takes for that of its clusters
+    means = draws.join(ranked.select(*group, "rank", "s", "n"), [*group, "rank"], "left").groupBy(*group, "replicate").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.groupBy(*group).agg(F.percentile("m", low).alias("ci_low"), F.percentile("m", high).alias("ci_high"))
 
 

@@ -176,6 +176,22 @@ def test_selection_and_bootstrap(spark):
     assert selection.preferred_or_all(rows, ["g"], F.col("v") == 9).count() == 40 and selection.preferred_or_all(rows, ["g"], F.col("v") == 3).count() == 10
 
 
+def test_bootstrap_sends_no_draws(spark):
+    """What Spark may send to all tasks are the clusters: the draws, ``iterations`` times as many, look as small to it."""
+    data = [(g, c, float((c * 7 + k) % 11)) for g in ("a", "b") for c in range(0, 60, 2 if g == "a" else 3) for k in range(1 + c % 3)]
+    rows = spark.createDataFrame([*data, (None, 1, 5.0)], "g string, c int, v double")
+    got = agg.bootstrap_cluster_ci(rows, ["g"], cluster="c", value="v", iterations=50)
+    assert "BuildLeft" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        sums = [[v for h, d, v in data if (h, d) == (r.g, c)] for c in sorted({d for h, d, _ in data if h == r.g})]
+        means = []
+        for b in range(1, 51):
+            drawn = [x for k in range(len(sums)) for x in sums[(b * 1000003 + k) * 2654435761 % 2147483647 % len(sums)]]
+            means.append(sum(drawn) / len(drawn))
+        assert [r.ci_low, r.ci_high] == pytest.approx(np.quantile(means, [0.025, 0.975]).tolist())
+    assert {r.g for r in got.collect()} == {"a", "b"}
+
+
 def test_workspace(spark):
     space = Workspace(spark, "t")
     kept = space.save(spark.range(5), "a")
