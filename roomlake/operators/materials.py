@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roomlake.functions.text import normalized
 from roomlake.operators import sampling
+from roomlake.storage import Workspace
 
 #: Classes of absorption in their order, and the words that stand for them or for any.
 CLASSES = ("reflective", "semi_reflective", "absorptive", "highly_absorptive")
@@ -28,6 +29,8 @@ SURFACE = "surface_absorption_coefficient"
 #: Absorption where nothing is known of a surface, and its scattering.
 FALLBACK = {"wall": 0.06, "floor": 0.10, "ceiling": 0.08, "door": 0.14, "carpet": 0.45, "carpet_rug": 0.45, "curtain": 0.45, "curtain_blind": 0.45, "sofa": 0.55, "sofa_couch": 0.55, "window": 0.08, "window_glass": 0.08}
 FALLBACK_OTHER, FALLBACK_SCATTERING = 0.20, 0.12
+#: Requests of equal terms in a row, requests and materials of a block of a term's pairs, and pairs of a task, on average; tasks at most.
+REQUESTS_A_ROW, BLOCK, PAIRS_A_TASK, TASKS = 512, 2048, 2_000_000, 100_000
 
 
 def middle_absorption(alphas: Column) -> Column:
@@ -124,10 +127,39 @@ def terms_of(semantic: Column, canonical_name: Column, vocabulary: Column, alias
 
 
 def candidates(stock: DataFrame, wishes: DataFrame, names: Sequence[str], aliases: str) -> DataFrame:
-    """request_id, material_idx of the materials that have one of a wish's ``terms`` as a name. Terms meet names in a join, so each is looked up once."""
+    """request_id, material_idx of the materials that have one of a wish's ``terms`` as a name, each pair once.
+
+    A term of many wishes and many materials gives all their pairs. So wishes of the
+    same terms are looked up together, a pair comes from the first term that it has in
+    common, which leaves nothing to tell apart afterwards, and a term's pairs are dealt
+    in blocks to a number of tasks said outright. Only rows of blocks are shuffled.
+    """
+    space = Workspace(stock.sparkSession, "candidates")
     own = F.concat(F.array(*[F.lower(F.col(n)) for n in names]), F.transform(F.coalesce(F.col(aliases), F.array().cast("array<string>")), lambda t: F.lower(t)))
-    named = stock.select("material_idx", F.explode(F.array_distinct(own)).alias("term")).where("term is not null")
-    return wishes.select("request_id", F.explode("terms").alias("term")).join(named, "term").select("request_id", "material_idx").distinct()
+
+    def listed(rows: DataFrame, key: str, terms: Column) -> DataFrame:
+        each = rows.select(key, F.explode(F.array_distinct(terms)).alias("term")).where("term is not null")
+        return each.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+    named = space.save(listed(stock, "material_idx", own), "named")
+    asked = space.save(listed(wishes, "request_id", F.col("terms")), "asked")
+    alike = space.save(asked.groupBy("terms").agg(F.ceil(F.count("*") / REQUESTS_A_ROW).cast("int").alias("rows")), "alike")
+    dealt = asked.join(alike, "terms").withColumn("row", F.pmod(F.xxhash64("request_id"), F.col("rows")).cast("int"))
+    together = space.save(dealt.groupBy("terms", "row").agg(F.collect_list(F.struct("request_id")).alias("requests")), "together")
+
+    wanting = together.select(F.explode("terms").alias("term"), F.col("terms").alias("wanted"), "row", "requests")
+    having = named.select(F.explode("terms").alias("term"), F.col("terms").alias("own"), "material_idx")
+    sizes = wanting.groupBy("term").agg(F.sum(F.size("requests")).alias("r")).join(having.groupBy("term").agg(F.count("*").alias("m")), "term")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = space.save(sizes.select("term", parts("r").alias("r_parts"), parts("m").alias("m_parts"), (F.col("r") * F.col("m")).alias("pairs")), "sizes")
+    tasks = 1 + min(TASKS, (sizes.agg(F.sum("pairs")).first()[0] or 0) // PAIRS_A_TASK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = ["term", "r_part", "m_part"]
+    left = having.join(sizes, "term").withColumn("m_part", F.pmod(F.xxhash64("material_idx"), F.col("m_parts")).cast("int")).select("term", every("r_parts").alias("r_part"), "m_part", "own", "material_idx")
+    right = wanting.join(sizes, "term").withColumn("r_part", F.pmod(F.xxhash64("wanted", "row"), F.col("r_parts")).cast("int")).select("term", "r_part", every("m_parts").alias("m_part"), "wanted", "requests")
+    met = left.repartition(tasks, *block).join(right.repartition(tasks, *block).hint("shuffle_hash"), block)  # Spark takes the copies of blocks for one
+    first = met.where(F.element_at(F.array_intersect("wanted", "own"), 1) == F.col("term"))
+    return first.select(F.explode("requests").alias("q"), "material_idx").select("q.request_id", "material_idx")
 
 
 def draw_family(requests: DataFrame, stock: DataFrame, *, seed: int) -> DataFrame:

@@ -126,6 +126,24 @@ def test_placement_and_motion(spark):
     assert len(frames) == n and frames[0].source == [1.0, 3.5, 1.5] and frames[-1].phase == 1.0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_candidates_once_and_in_blocks(spark, monkeypatch, small):
+    """Materials and wishes that share several terms, repeated rows, nulls, and a term of all; the pairs themselves are never shuffled."""
+    if small:
+        for name, n in {"REQUESTS_A_ROW": 3, "BLOCK": 5, "PAIRS_A_TASK": 50}.items():
+            monkeypatch.setattr(materials, name, n)
+    stock = [(k, "All", f"n{k % 4}", [f"A{k % 3}", None, "all"] if k % 5 else None) for k in range(40)] + [(3, "extra", None, None), (3, "all", "n3", ["a0"]), (None, "all", None, [])]
+    wishes = [(k, ["all", f"n{k % 4}", f"a{k % 6}"] if k % 3 else [f"a{k % 6}", None]) for k in range(30)] + [(30, ["none"]), (31, []), (32, None), (4, ["extra"]), (None, ["n1"])]
+    rows = spark.createDataFrame(stock, "material_idx int, a string, b string, c array<string>")
+    got = materials.candidates(rows, spark.createDataFrame(wishes, "request_id long, terms array<string>"), ["a", "b"], "c")
+    names = lambda a, b, c: {x.lower() for x in (a, b, *(c or [])) if x is not None}
+    wanted = {(q, m) for q, terms in wishes for m, *of in stock if names(*of) & set(terms or [])}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted and got.columns == ["request_id", "material_idx"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.index("ShuffledHashJoin") and "Exchange" not in plan[: plan.index("ShuffledHashJoin")]
+
+
 def test_batch(spark):
     jobs = spark.createDataFrame([(1, 2), (2, 0), (3, 4)], "job_id long, x int")
     got = {r.job_id: r for r in solve.run_jobs(jobs, lambda j: {"y": 8 // j["x"]}, on_error="skip").collect()}
