@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roomlake.llm import bpe, crf, lines, oracles, queries, similar
+from roomlake.llm import bpe, crf, lines, oracles, queries, simhash, similar
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
@@ -142,3 +142,18 @@ def test_near_dedup_is_by_shingle_sets(spark, docs, monkeypatch, few):
     kept = [r.doc_id for r in corpus_pipeline.keep_one_of_similar(spark, both, SF).collect()]
     assert sorted(x for x in kept if x is not None) == sorted(least.values()) and kept.count(None) == 1
     assert {7000, 7007} <= set(kept) and 7006 not in kept and 1 < sum(7100 <= x < 7200 for x in kept if x is not None) < 80
+
+
+def test_near_dedup_links_by_simhash(spark, docs, monkeypatch):
+    """Where no texts meet by common shingles, what SimHash links is still found, and only what the sets confirm goes."""
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:399], "x2_0"]), 3: " ".join(words[::-1]), 4: "a b", 5: "c d", 6: " ".join(words).upper()}
+    bits = {d: simhash.fingerprint(t.encode(), words=5) & 2**64 - 1 for d, t in texts.items()}
+    assert bits[1] == bits[6] and (bits[1] ^ bits[2]).bit_count() == 2 and (bits[1] ^ bits[3]).bit_count() > 2
+    rows = spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in texts.items()], docs.schema)
+    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "place long, fp long")
+    monkeypatch.setattr(similar, "meeting_places", lambda prefixes, space: tuple(space.save(df, n) for df, n in zip(none, ("stars", "members"))))
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_similar(spark, rows, SF).collect()) == [1, 3, 4, 5]
+    false = spark.createDataFrame([(3, 1), (4, 3), (2, 1)], "doc_id long, component_id long")
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs, space, words: false)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_similar(spark, rows, SF).collect()) == [1, 3, 4, 5]
